@@ -5,6 +5,104 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from worklens.operators import hierarchy as tree
+from worklens.operators.history import versions
+from worklens.sources.tables import blank_to_null, latest_rows, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tree.Hierarchy:
+    pages = load(spark, sf_dir, "pages").select("id", "indexed_at", "parent_id")
+    return tree.hierarchy(latest_rows(pages, ["id"], ["indexed_at"]), "id", "parent_id")
+
+
+_LINKS = """with recursive cur as (
+  select id, nullif(regexp_replace(parent_id, '^\\s+|\\s+$', '', 'g'), '') as parent from (select *, row_number() over (partition by id order by indexed_at desc) as rn from pages) where rn = 1
+),
+link as (select a.id, a.parent from cur a join cur b on a.parent = b.id),
+up as (select id, parent as anc from link union select up.id, link.parent from up join link on up.anc = link.id)
+"""
+
+
+@_query(_LINKS + "select id as page_id, anc as ancestor_id from up")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and each page above it."""
+    return tree.ancestors(_tree(spark, sf_dir)).toDF("page_id", "ancestor_id")
+
+
+@_query(
+    _LINKS
+    + """, looped as (select id from up where id = anc),
+below as (select distinct id from up where anc in (select id from looped)),
+deep as (select id, count(*) as depth from up group by 1)
+select cur.id as page_id, coalesce(deep.depth, 0)::int as depth,
+  coalesce((select min(u.anc) from up u where u.id = cur.id and u.anc not in (select id from link)), cur.id) as root_id
+from cur left join deep on deep.id = cur.id where cur.id not in (select id from below)"""
+)
+def p1_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and root of every page that is neither on nor below a loop."""
+    h = _tree(spark, sf_dir)
+    return tree.paths(tree.Hierarchy(h.up, h.loops, None)).select(F.col("id").alias("page_id"), "depth", F.col("root").alias("root_id"))
+
+
+@_query()
+def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path from the root, depth, root and loop mark of every page."""
+    return tree.paths(_tree(spark, sf_dir)).withColumnRenamed("id", "page_id")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of changelogs, one for each id, with keys, fields and values in one spelling and the instant of ``created``."""
+    logs = load(spark, sf_dir, "changelogs").select("id", "cached_at", "issue_key", "field", "from_value", "to_value", "created").where("id is not null")
+    one = latest_rows(logs, ["id"], ["cached_at"])
+    low = lambda c: F.coalesce(F.lower(blank_to_null(F.col(c))), F.lit(""))
+    return one.select(
+        "id",
+        F.upper(blank_to_null(F.col("issue_key"))).alias("issue_key"),
+        F.lower(blank_to_null(F.col("field"))).alias("field"),
+        low("from_value").alias("from_value"),
+        low("to_value").alias("to_value"),
+        F.expr("try_cast(trim(created) as timestamp)").alias("at"),
+    )
+
+
+_HISTORY = """with one as (
+  select id, upper(regexp_replace(issue_key, '^\\s+|\\s+$', '', 'g')) as issue_key, lower(regexp_replace(field, '^\\s+|\\s+$', '', 'g')) as field,
+    lower(regexp_replace(coalesce(from_value, ''), '^\\s+|\\s+$', '', 'g')) as f, lower(regexp_replace(coalesce(to_value, ''), '^\\s+|\\s+$', '', 'g')) as t,
+    regexp_replace(regexp_replace(created, 'Z$', '+00:00'), '([+-]\\d\\d)(\\d\\d)$', '\\1:\\2')::timestamptz as moment
+  from (select *, row_number() over (partition by id order by cached_at desc) as rn from changelogs) where rn = 1
+),
+entry as (select issue_key, field, moment, f, t, min(id) as id from one group by all),
+marked as (select *, t <> coalesce(lag(t) over w, f) as begins from entry window w as (partition by issue_key, field order by moment, id)),
+version as (select *, lead(id) over w as next_id, lead(moment) over w as next_at from marked where begins window w as (partition by issue_key, field order by moment, id))
+"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(changes(spark, sf_dir), ["issue_key", "field"], "at", "id", "to_value", before="from_value")
+
+
+@_query(_HISTORY + "select issue_key, field, id as open_id, coalesce(next_id, 'open') as close_id from version")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of a field of an issue, with the entries that begin and end it."""
+    return _versions(spark, sf_dir).select("issue_key", "field", "open_id", F.coalesce("close_id", F.lit("open")).alias("close_id"))
+
+
+@_query(_HISTORY + "select issue_key, field, t as value, epoch_us(moment) as valid_from_us, epoch_us(next_at) as valid_to_us from version")
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version with its value and the period in which it was valid, in microseconds since 1970."""
+    return _versions(spark, sf_dir).select("issue_key", "field", "value", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"))

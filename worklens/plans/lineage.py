@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -23,7 +24,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage ended."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # New column ids: a checkpoint keeps constraints on columns of the plan before it, which a later union cannot resolve.
+    return kept.select(*[F.col(f"`{c}`").alias(c) for c in kept.columns])
 
 
 def parallelism(spark: SparkSession) -> int:
