@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import bpe, cooccurrence, near_tickets, packing
+from worklens.llm import bpe, cooccurrence, language, near_tickets, packing, splitting
 from worklens.sources.tables import load
 
 
@@ -28,8 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": near_tickets.groups,
     "p3_found": cooccurrence.found,
     "p3_scores": p3_scores,
+    "p5_found": splitting.found,
+    "p5_pieces": splitting.pieces,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": language.found,
+    "p8_documents": language.document_languages,
+    "p8_stretches": language.document_stretches,
 }
 
 _CURRENT = "cur as (select * from (select *, row_number() over (partition by issue_key order by updated desc) as rn from tickets) where rn = 1)"

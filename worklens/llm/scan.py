@@ -39,11 +39,12 @@ class Automaton:
             made = self.table[b][self.table]
             self.then[np.arange(n) * n + b] = [number[tuple(int(x) for x in row)] for row in made]
 
-    def states_before(self, letters: np.ndarray, start: int = 0, block: int = 256) -> tuple[np.ndarray, int]:
+    def states_before(self, letters: np.ndarray, start: int = 0, block: int = 0) -> tuple[np.ndarray, int]:
         """The state before each letter and the function of the whole input."""
         n = len(letters)
         if n == 0:
             return np.zeros(0, np.uint8), 0
+        block = block or max(8, min(256, int(n**0.5)))
         rows = -(-n // block)
         padded = np.zeros(rows * block, np.int32)
         padded[:n] = self.letter[letters]
