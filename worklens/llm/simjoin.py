@@ -43,8 +43,9 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("cid", "n", "tokens"), reps.select(F.explode("keys").alias("key"), "cid")
 
 
-def frequent_tokens(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of high document frequency, sorted, and their weights below 1.
+def frequent_tokens(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of high document frequency, sorted, and their weights below 1: the inverse document frequency, as a share of that
+    of an unlisted token, to the power ``steepness``.
 
     Bound: a token is listed if it stands in at least n / 1000 sets and in at least a 100,000th of all entries, so there
     are at most 100,000 of them, whatever the corpus. Counts are over all sets, combined before the shuffle.
@@ -56,7 +57,8 @@ def frequent_tokens(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     top = np.log(max(n or 0, 3) / least) if (n or 0) > least else 1.0
     token = np.array([r[0] for r in rows], np.int64)
     df = np.array([r[1] for r in rows], np.float64)
-    return token, np.clip(np.log(max(n or 0, 1) / np.maximum(df, 1)) / max(top, 1e-9), 0.02, 1.0)
+    share = np.log(max(n or 0, 1) / np.maximum(df, 1)) / max(top, 1e-9)
+    return token, np.clip(share, 0.1, 1.0) ** steepness
 
 
 class _Ragged:
@@ -179,7 +181,7 @@ def _pairs_of_nodes(limit: int, similarity: float, slack_bits: int):
     return run
 
 
-def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 6, width: float = 2.0, depth: int = 2, limit: int = 64, most_levels: int = 8, slack_bits: int = 28) -> DataFrame:
+def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 5, width: float = 2.5, depth: int = 2, limit: int = 64, most_levels: int = 8, slack_bits: int = 28) -> DataFrame:
     """Pairs of representatives (a, b), a < b, with Jaccard similarity of at least ``similarity``; exact, with a recall set by ``trees``.
 
     ``depth`` levels are branched in one narrow pass; nodes of more than ``limit`` sets branch on, level by level. What is
@@ -209,8 +211,10 @@ def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 6,
                 r = _Ragged(part.column(2), frequent.value)
                 cid = part.column(0).to_numpy(zero_copy_only=False)
                 node = part.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+                _, first, same = np.unique(cid, return_index=True, return_inverse=True)
+                sketch = _sketch(_Ragged(part.column(2).take(pa.array(first)), frequent.value))[same]
                 node, owner = r.branch(node, np.arange(len(cid)), width)
-                yield _node_batch(node, owner, cid, r.n, _sketch(r))
+                yield _node_batch(node, owner, cid, r.n, sketch)
 
     def compared(nodes: DataFrame) -> DataFrame:
         return cut(nodes.repartition(2 * parallelism(spark), "node").sortWithinPartitions("node").mapInArrow(_pairs_of_nodes(limit, similarity, slack_bits), "kind tinyint, a bigint, b bigint"))
