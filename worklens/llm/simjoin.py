@@ -181,7 +181,7 @@ def _pairs_of_nodes(limit: int, similarity: float, slack_bits: int):
     return run
 
 
-def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 5, width: float = 2.5, depth: int = 2, limit: int = 64, most_levels: int = 8, slack_bits: int = 28) -> DataFrame:
+def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 8, width: float = 2.5, depth: int = 2, limit: int = 64, most_levels: int = 8, slack_bits: int = 28) -> DataFrame:
     """Pairs of representatives (a, b), a < b, with Jaccard similarity of at least ``similarity``; exact, with a recall set by ``trees``.
 
     ``depth`` levels are branched in one narrow pass; nodes of more than ``limit`` sets branch on, level by level. What is
