@@ -37,10 +37,10 @@ def word_set(text: F.Column, least: int = 3) -> F.Column:
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sets`` (key, words) as representatives (cid, n, tokens array<bigint>) and members (key, cid); equal sets are one class."""
-    hashed = sets.select("key", F.md5(F.concat_ws(" ", "words")).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
-    reps = hashed.groupBy("h").agg(F.first("tokens").alias("tokens"), F.collect_list("key").alias("keys"))
-    reps = cut(reps.select(F.monotonically_increasing_id().alias("cid"), F.size("tokens").alias("n"), "tokens", "keys"))
-    return reps.select("cid", "n", "tokens"), reps.select(F.explode("keys").alias("key"), "cid")
+    hashed = cut(sets.select("key", F.md5(F.concat_ws(" ", "words")).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens")))
+    reps = hashed.groupBy("h").agg(F.first("tokens").alias("tokens"))
+    reps = cut(reps.select("h", F.monotonically_increasing_id().alias("cid"), F.size("tokens").alias("n"), "tokens"))
+    return reps.select("cid", "n", "tokens"), cut(hashed.select("key", "h").join(reps.select("h", "cid"), "h").select("key", "cid"))
 
 
 def frequent_tokens(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
