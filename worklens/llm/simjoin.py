@@ -5,7 +5,7 @@ is small enough, so similar sets meet again in a child while others part. Nodes
 exhaustively, by sketches first and exactly after; large ones branch on. Independent trees raise the recall.
 
 Tokens that stand in many sets say little, so their chance of being chosen is lowered by their document frequency; the
-list of frequent tokens has a proven bound (see ``frequent_tokens``). Exact copies of a set are one class beforehand.
+list of frequent tokens has a proven bound (see ``token_weights``). Exact copies of a set are one class beforehand.
 """
 
 from __future__ import annotations
@@ -43,37 +43,48 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("cid", "n", "tokens"), cut(hashed.select("key", "h").join(reps.select("h", "cid"), "h").select("key", "cid"))
 
 
-def frequent_tokens(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of high document frequency, sorted, and their weights below 1: the inverse document frequency, as a share of that
-    of an unlisted token, to the power ``steepness``.
+SEEN_BITS = 20
+
+
+def token_weights(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of high document frequency, sorted; their weights below 1; and which hash buckets hold a token of two sets or more.
+
+    A weight is the inverse document frequency, as a share of that of an unlisted token, to the power ``steepness``. A
+    token of one set only can link nothing, so it weighs nothing; that is known by 2 ** SEEN_BITS buckets, and a token
+    that shares its bucket with another is merely weighed as if it were of two.
 
     Bound: a token is listed if it stands in at least n / 1000 sets and in at least a 100,000th of all entries, so there
     are at most 100,000 of them, whatever the corpus. Counts are over all sets, combined before the shuffle.
     """
     n, entries = reps.agg(F.count("*"), F.sum("n")).first()
-    least = max(2.0, (n or 0) / 1000, (entries or 0) / 100_000)
-    rows = reps.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).collect()
-    rows.sort()
-    top = np.log(max(n or 0, 3) / least) if (n or 0) > least else 1.0
-    token = np.array([r[0] for r in rows], np.int64)
-    df = np.array([r[1] for r in rows], np.float64)
-    share = np.log(max(n or 0, 1) / np.maximum(df, 1)) / max(top, 1e-9)
-    return token, np.clip(share, 0.1, 1.0) ** steepness
+    n = n or 0
+    least = max(2.0, n / 1000, (entries or 0) / 100_000)
+    counts = cut(reps.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 1"))
+    listed = counts.where(F.col("count") >= least).toArrow()
+    token, df = listed.column(0).to_numpy().astype(np.int64), listed.column(1).to_numpy().astype(np.float64)
+    order = np.argsort(token)
+    buckets = counts.select(F.col("t").bitwiseAND(F.lit((1 << SEEN_BITS) - 1)).alias("b")).distinct().toArrow().column(0).to_numpy()
+    shared = np.zeros(1 << SEEN_BITS, bool)
+    shared[buckets.astype(np.int64)] = True
+    top = np.log(n / least) if n > least else 1.0
+    share = np.log(max(n, 1) / np.maximum(df[order], 1)) / max(top, 1e-9)
+    return token[order], np.clip(share, 0.25, 1.0) ** steepness, shared
 
 
 class _Ragged:
     """Token lists of a batch in one array, with weights."""
 
-    def __init__(self, tokens: pa.ListArray, frequent: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, tokens: pa.ListArray, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         ends = tokens.offsets.to_numpy().astype(np.int64)
         flat = tokens.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
         self.starts, self.n = ends[:-1] - ends[0], np.diff(ends)
         self.flat = flat.view(np.uint64)
-        names, weights = frequent
+        names, weights, shared = frequent
         self.weight = np.ones(len(flat))
         if len(names):
             k = np.minimum(np.searchsorted(names, flat), len(names) - 1)
             self.weight = np.where(names[k] == flat, weights[k], 1.0)
+        self.weight = np.where(shared[flat & ((1 << SEEN_BITS) - 1)], self.weight, 0.0)
         owner = np.repeat(np.arange(len(self.n)), self.n)
         self.total = np.bincount(owner, self.weight, len(self.n))
 
@@ -189,7 +200,7 @@ def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 8,
     ``slack_bits``: how far a sketch may lie below its expected agreement (about 4.4 standard deviations).
     """
     spark = reps.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_tokens(reps))
+    frequent = spark.sparkContext.broadcast(token_weights(reps))
 
     def plant(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

@@ -65,7 +65,8 @@ class Lines:
         start = np.concatenate([begins[some], brk + 1])
         item = np.concatenate([some, np.searchsorted(begins[some], brk, side="right") - 1])
         item[len(some) :] = some[item[len(some) :]] if len(some) else item[len(some) :]
-        keep = start < ends[item] if len(some) else np.zeros(0, bool)
+        keep = start < ends[item] if len(some) else np.zeros(len(start), bool)
+        keep[len(some) :] &= start[len(some) :] > begins[item[len(some) :]] if len(some) else False
         order = np.argsort(start[keep], kind="stable")
         self.start, self.item = start[keep][order], item[keep][order]
         upto = np.append(self.start[1:], n) if len(self.start) else self.start
