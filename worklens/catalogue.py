@@ -399,6 +399,15 @@ def j03_similar_summaries(spark, d):
     return similarity.similar_pairs(sets, "issue_key", "t", 0.6, strict=True).withColumn("similarity", F.round("similarity", 6))
 
 
+@_query(_TICKETS + ", s as (select issue_key, " + _TOKENS.format(c="summary") + """ as t from cur), w as (select issue_key, len(t) as n, unnest(t) as w from s),
+p as (select a.issue_key as key_a, b.issue_key as key_b, a.n as na, b.n as nb, count(*) as k from w a join w b on a.w = b.w and a.issue_key < b.issue_key group by all)
+select key_a, key_b, round(k * 1.0 / (na + nb - k), 6) as similarity from p where k * 1.0 / (na + nb - k) > 0.4""")
+def j03_duplicates(spark, d):
+    """The reference's pairwise duplicates: all pairs above 0.4."""
+    sets = tickets_now(spark, d, "summary").select("issue_key", text.tokens(F.col("summary")).alias("t"))
+    return similarity.similar_pairs(sets, "issue_key", "t", 0.4, strict=True).withColumn("similarity", F.round("similarity", 6))
+
+
 @_query(_TICKETS + ", s as (select issue_key, " + _TOKENS.format(c="summary") + """ as t from cur), q as (select ['clean', 'federated', 'message', 'broker', 'cache'] as q)
 select issue_key, round(len(list_intersect(t, q)) * 1.0 / (len(t) + 5 - len(list_intersect(t, q))), 6) as similarity from s, q where len(list_intersect(t, q)) * 1.0 / (len(t) + 5 - len(list_intersect(t, q))) >= 0.3""")
 def j04_similar_to_draft(spark, d):
