@@ -46,12 +46,13 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 SEEN_BITS = 20
 
 
-def token_weights(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_weights(reps: DataFrame, floor: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of high document frequency, sorted; their weights below 1; and which hash buckets hold a token of two sets or more.
 
-    A weight is the inverse document frequency, as a share of that of an unlisted token, to the power ``steepness``. A
-    token of one set only can link nothing, so it weighs nothing; that is known by 2 ** SEEN_BITS buckets, and a token
-    that shares its bucket with another is merely weighed as if it were of two.
+    A weight is the inverse document frequency, as a share of that of an unlisted token, and ``floor`` at least: no pair is
+    starved, whatever its common tokens are (least chances: ``similar_classes``). A token of one set only can link nothing,
+    so it weighs nothing; that is known by 2 ** SEEN_BITS buckets, and a token that shares its bucket with another is merely
+    weighed as if it were of two.
 
     Bound: a token is listed if it stands in at least n / 1000 sets and in at least a 100,000th of all entries, so there
     are at most 100,000 of them, whatever the corpus. Counts are over all sets, combined before the shuffle.
@@ -68,7 +69,7 @@ def token_weights(reps: DataFrame, steepness: float = 3.0) -> tuple[np.ndarray,
     shared[buckets.astype(np.int64)] = True
     top = np.log(n / least) if n > least else 1.0
     share = np.log(max(n, 1) / np.maximum(df[order], 1)) / max(top, 1e-9)
-    return token[order], np.clip(share, 0.25, 1.0) ** steepness, shared
+    return token[order], np.clip(share, floor, 1.0), shared
 
 
 class _Ragged:
@@ -197,6 +198,9 @@ def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 8,
 
     ``depth`` levels are branched in one narrow pass; nodes of more than ``limit`` sets branch on, level by level. What is
     still large after ``most_levels`` is compared block by block, so no pair is given up and no group is held by a task.
+    Least chances of a pair of similarity 0.6 to meet, if all that it shares weighs the floor of 0.5 and all else 1: 1.07
+    shared children a level if one set holds the other, 1.5 if they are of one size, so at least 99.6 and 99.99 % meet
+    within two levels, 97.2 and 99.9 % within four, 86.6 and 99.9 % within ten, the most there are.
     ``slack_bits``: how far a sketch may lie below its expected agreement (about 4.4 standard deviations).
     """
     spark = reps.sparkSession
