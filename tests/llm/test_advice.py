@@ -3,6 +3,7 @@
 import random
 
 from tests.llm.test_pairs import brute, joined
+from worklens.llm.near_tickets import components
 
 
 def test_similarity_join_finds_sets_of_a_common_form(spark):
@@ -13,3 +14,12 @@ def test_similarity_join_finds_sets_of_a_common_form(spark):
     want = brute(sets, 0.6)
     got, _ = joined(spark, sets)
     assert len(want) > 7000 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_long_chains_in_any_order_are_one_component(spark):
+    random.seed(7)
+    ids = random.sample(range(10_000), 500)
+    links = [(min(p), max(p)) for p in zip(ids, ids[1:])] + [(20_000, 20_001)]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 20_000, 20_001, 20_002]], "cid bigint")
+    root = {r["cid"]: r["root"] for r in components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert root == {i: min(ids) for i in ids} | {20_000: 20_000, 20_001: 20_000, 20_002: 20_002}

@@ -33,23 +33,27 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return across.union(within).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(cid, root): the least cid that each node reaches by ``links`` (a, b). Labels spread to neighbours and jump along labels.
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cid, root): the least cid that each node reaches by ``links`` (a, b).
 
-    A round is two aggregations with map-side combine, so a node with very many links is no single task.
+    Each round every node with links takes the name of the one of least rank among itself and its neighbours; nodes of one
+    name become one, until no link is left. Ranks are hashes, new in each round, so whatever the order of the ids a round
+    leaves a fraction of the nodes, and the rounds are about the logarithm of the longest chain. A round always joins some
+    nodes, so the loop ends. Aggregations combine on the map side, so a node with very many links is no single task.
     """
-    both = cut(links.union(links.select("b", "a")).toDF("src", "dst"))
+    edges = cut(links.union(links.select("b", "a")).toDF("src", "dst").where("src <> dst").distinct())
     label = cut(nodes.select("cid", F.col("cid").alias("root")))
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("cid", "src"), "src").groupBy(F.col("dst").alias("cid")).agg(F.min("root").alias("via"))
-        step = label.join(near, "cid", "left").select("cid", "root", F.least("root", "via").alias("low"))
-        jump = step.join(label.select(F.col("cid").alias("low"), F.col("root").alias("far")), "low", "left").select("cid", F.col("root").alias("was"), F.least("low", "far").alias("root"))
-        jump = cut(jump)
-        changed = not jump.where("root < was").isEmpty()
-        label = jump.select("cid", "root")
-        if not changed:
-            break
-    return label
+    turn = 0
+    while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        names = edges.groupBy("src").agg(F.min(rank("dst")).alias("via")).select("src", F.least(rank("src"), "via")["id"].alias("name"))
+        names = cut(names)
+        label = cut(label.join(names.withColumnRenamed("src", "root"), "root", "left").select("cid", F.coalesce("name", "root").alias("root")))
+        of = names.select(F.col("src").alias("dst"), F.col("name").alias("to"))
+        edges = cut(edges.join(names, "src").join(of, "dst").where("name <> to").select(F.col("name").alias("src"), F.col("to").alias("dst")).distinct())
+        turn += 1
+    least = label.groupBy("root").agg(F.min("cid").alias("least"))
+    return cut(label.join(least, "root").select("cid", F.col("least").alias("root")))
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
