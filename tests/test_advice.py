@@ -26,3 +26,9 @@ def test_duplicates_down_to_the_threshold_of_the_reference(spark, sql):
     got = rows(spark, "j03_duplicates")
     assert sorted(got) == sorted(sql("j03_duplicates"))
     assert any(0.4 < r[2] <= 0.6 for r in got) and not any(r[2] <= 0.4 for r in got)
+
+
+def test_time_in_status_counts_the_first_stay(spark, sql):
+    got = rows(spark, "w01_time_in_status_from_creation")
+    assert sorted(got) == sorted(sql("w01_time_in_status_from_creation"))
+    assert sum(r[2] for r in got) > sum(r[2] for r in rows(spark, "w01_time_in_status"))

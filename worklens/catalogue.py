@@ -360,6 +360,17 @@ def w01_time_in_status(spark, d):
     return s.groupBy("value").agg(F.count("*").alias("n"), F.sum("micros").alias("micros"), F.max("micros").alias("longest"))
 
 
+@_query(_STATUS + """, cur as (select * from (select *, row_number() over (partition by issue_key order by updated desc) as rn from tickets) where rn = 1),
+born as (select upper(regexp_replace(issue_key, '^\\s+|\\s+$', '', 'g')) as issue_key, min(created) as born from cur group by 1),
+w as (select st.issue_key, case when row_number() over p = 1 then f else lag(t) over p end as value, epoch_us(moment) - epoch_us(coalesce(lag(moment) over p, born)) as micros from st left join born on st.issue_key = born.issue_key window p as (partition by st.issue_key order by moment, id))
+select value, count(*) as n, sum(micros)::bigint as micros, max(micros) as longest from w where micros >= 0 group by 1""")
+def w01_time_in_status_from_creation(spark, d):
+    """As the reference counts it: the first stay of a ticket begins with its creation."""
+    born = tickets_now(spark, d, "created").groupBy(F.upper(blank_to_null(F.col("issue_key"))).alias("issue_key")).agg(F.min("created").alias("born"))
+    s = timeline.stays(_status(spark, d).join(born, "issue_key", "left"), "issue_key", "at", "id", "from_value", "to_value", created="born")
+    return s.groupBy("value").agg(F.count("*").alias("n"), F.sum("micros").alias("micros"), F.max("micros").alias("longest"))
+
+
 @_query(_STATUS + """, q as (select issue_key, first(f order by moment, id) || ' > ' || string_agg(t, ' > ' order by moment, id) as sequence, count(*) as steps from st group by 1)
 select sequence, count(*) as n, count(*) * 100.0 / sum(count(*)) over () >= 1 as common from q where steps >= 1 group by 1""")
 def w02_status_sequences(spark, d):
