@@ -32,3 +32,23 @@ def test_time_in_status_counts_the_first_stay(spark, sql):
     got = rows(spark, "w01_time_in_status_from_creation")
     assert sorted(got) == sorted(sql("w01_time_in_status_from_creation"))
     assert sum(r[2] for r in got) > sum(r[2] for r in rows(spark, "w01_time_in_status"))
+
+
+@pytest.mark.parametrize("name", ["j04_similar_to_rows", "x03_all_words_of_rows", "x04_ranked_for_rows", "x07_pages_of_chunk_hits_for_rows"])
+def test_searches_answer_every_query_row(spark, sql, name):
+    got = rows(spark, name)
+    at = sorted(catalogue.QUERIES[name](spark, "/root/testdata/sf0.01").columns).index("query")
+    assert len({r[at] for r in got}) > 5
+    want = sql(name)
+    if name == "x04_ranked_for_rows":
+        assert {r[:2] for r in map(tuple, got)} == {r[:2] for r in want}
+        best = {r[:2]: r[2] for r in want}
+        assert all(abs(best[r[:2]] - r[2]) < 0.002 for r in got)
+    else:
+        assert sorted(got) == sorted(want)
+
+
+def test_snippets_of_every_query_row(spark):
+    got = rows(spark, "x05_snippets_for_rows")
+    assert {r[1] for r in got} == {r[1] for r in rows(spark, "x03_all_words_of_rows")}
+    assert any("**" in r[3] for r in got)

@@ -476,6 +476,71 @@ def x07_pages_of_chunk_hits(spark, d):
     return pages_now(spark, d, "title").join(hits.withColumnRenamed("page_id", "id"), "id").select("id", "title")
 
 
+# The same over the set query rows: every row whose id (of a ticket, its number) is divisible by 50, against all rows.
+
+_TITLE = """list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(title, ''), '[*"()^+-]', ' ', 'g'), '\\b(?:near|and|or|not)\\b', ' ', 'gi')), '[^0-9a-z]+'), lambda x: x <> ''))"""
+_ASKED = "q0 as (select id as query, " + _TITLE + " as words from cur where try_cast(id as bigint) % 50 = 0),\nq as (select query, len(words) as need, unnest(words) as word from q0),\n"
+
+_BM25_ROWS = _PAGES + ", " + _ASKED + """w as (select id, unnest(regexp_split_to_array(lower(coalesce(title, '')) || ' ' || lower(coalesce(content, '')), '[^0-9a-z]+')) as word from cur),
+l as (select id, count(*) as len from w where word <> '' group by 1),
+n as (select count(*) as n, (select sum(len) from l) * 1.0 / count(*) as avg from cur),
+tf as (select id, word, count(*) as tf from w where word in (select word from q) group by 1, 2),
+df as (select word, count(*) as df from tf group by 1),
+h as (select query, id, count(*) as have, max(need) as need, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) as score
+  from tf join df using (word) join q using (word) join l using (id), n group by 1, 2)
+"""
+
+
+@_query(_TICKETS + ", s as (select issue_key, " + _TOKENS.format(c="summary") + """ as t from cur), q as (select issue_key as query, t as q from s where try_cast(regexp_extract(issue_key, '-(\\d+)$', 1) as bigint) % 50 = 0)
+select query, issue_key, round(len(list_intersect(t, q)) * 1.0 / (len(t) + len(q) - len(list_intersect(t, q))), 6) as similarity from s, q where len(t) > 0 and len(q) > 0 and len(list_intersect(t, q)) * 1.0 / (len(t) + len(q) - len(list_intersect(t, q))) >= 0.3""")
+def j04_similar_to_rows(spark, d):
+    sets = tickets_now(spark, d, "summary").select("issue_key", text.tokens(F.col("summary")).alias("t"))
+    asked = sets.where(r"try_cast(regexp_extract(issue_key, '-(\\d+)$', 1) as bigint) % 50 = 0").select(F.col("issue_key").alias("query"), F.col("t").alias("tokens"))
+    return similarity.similar_to(sets, "issue_key", "t", asked, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+def _asked(spark, d):
+    return pages_now(spark, d, "title").where("try_cast(id as bigint) % 50 = 0").select(F.col("id").alias("query"), F.col("title").alias("text"))
+
+
+def _searched_rows(spark, d):
+    return search.ranked(pages_now(spark, d, "title", "content"), "id", ["title", "content"], _asked(spark, d))
+
+
+@_query(_BM25_ROWS + "select query, id from h where have = need")
+def x03_all_words_of_rows(spark, d):
+    return _searched_rows(spark, d).select("query", "id")
+
+
+@_query(_BM25_ROWS + "select query, id, round(score, 3) as score from h where have = need")
+def x04_ranked_for_rows(spark, d):
+    return _searched_rows(spark, d).select("query", "id", F.round("score", 3).alias("score"))
+
+
+@_query()
+def x05_snippets_for_rows(spark, d):
+    hits = _searched_rows(spark, d).where("rank <= 10").join(_asked(spark, d), "query")
+    return hits.join(pages_now(spark, d, "content"), "id").select("query", "id", "rank", search.snippet(F.col("content"), search.query_words_of(F.col("text"))).alias("snippet"))
+
+
+@_query(
+    _PAGES
+    + """, c as (select distinct id, page_id, heading, content from chunks),
+q0 as (select id as query, """
+    + _TITLE.replace("title", "heading")
+    + """ as words from c where id % 50 = 0),
+q as (select query, len(words) as need, unnest(words) as word from q0),
+w as (select distinct id, page_id, unnest(regexp_split_to_array(lower(coalesce(content, '')), '[^0-9a-z]+')) as word from c),
+hit as (select query, w.id, page_id from q join w using (word) group by query, w.id, page_id having count(*) = max(need))
+select distinct query, cur.id, cur.title from hit join cur on cur.id = hit.page_id"""
+)
+def x07_pages_of_chunk_hits_for_rows(spark, d):
+    chunks = load(spark, d, "chunks").groupBy("id").agg(F.max(F.struct("page_id", "content", "heading")).alias("c")).select("id", "c.*")
+    asked = chunks.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("heading").alias("text"))
+    hits = search.ranked(chunks, "id", ["content"], asked).join(chunks.select("id", "page_id"), "id").select("query", F.col("page_id").alias("id")).distinct()
+    return pages_now(spark, d, "title").join(hits, "id").select("query", "id", "title")
+
+
 @_query()
 def t04_markdown(spark, d):
     return pages_now(spark, d, "content").select("id", text.markdown_of("content").alias("markdown"))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.plans.lineage import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -16,17 +18,26 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[^0-9a-z]+", bare.lower()) if w))
 
 
+def query_words_of(c: Column) -> Column:
+    """``query_words`` of a column."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[*"()^+-]', " "), r"(?iU)\b(?:NEAR|AND|OR|NOT)\b", " ")
+    return F.array_distinct(words_of(bare))
+
+
 def words_of(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+"), lambda w: w != "")
 
 
-def ranked(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str], limit: int | None = None) -> DataFrame:
+def ranked(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str] | DataFrame, limit: int | None = None) -> DataFrame:
     """(query, key, score, rank): rows in which every word of the query stands in some field, best first, ties by key.
 
     Score: BM25 with k1 1.2, b 0.75 and idf ln(1 + (n - df + 0.5) / (df + 0.5)), over all fields together. All queries are
     answered in one pass: only postings of their words are made, so what is shuffled follows the hits. A query without
-    words has no result. ``limit`` is the top-k of each query.
+    words has no result. ``limit`` is the top-k of each query. ``queries`` may be a table (query, text) instead: then a
+    query's hits are looked for among the rows with its rarest word, and nothing of the queries is collected.
     """
+    if isinstance(queries, DataFrame):
+        return _ranked_each(docs, key, fields, queries, limit)
     asked = [(q, w) for q, text in queries.items() for w in query_words(text)]
     spark = docs.sparkSession
     if not asked:
@@ -39,14 +50,41 @@ def ranked(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str]
     tf = sized.where(F.size("hits") > 0).select(key, "len", F.explode("hits").alias("word")).groupBy(key, "len", "word").agg(F.count("*").alias("tf"))
     wanted = spark.createDataFrame([(q, w, need[q]) for q, w in asked], "query string, word string, need int")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    part = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
+    part = _part(n, avg)
     hits = tf.join(df, "word").join(F.broadcast(wanted), "word").groupBy("query", key).agg(F.count("*").alias("have"), F.max("need").alias("need"), F.round(F.sum(part), 6).alias("score"))
+    return _best(hits, key, limit)
+
+
+def _part(n: int, avg: float | None) -> Column:
+    return F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
+
+
+def _best(hits: DataFrame, key: str, limit: int | None) -> DataFrame:
     out = hits.where("have = need").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key)))
     return (out.where(F.col("rank") <= limit) if limit else out).select("query", key, "score", "rank")
 
 
-def snippet(c: Column, words: list[str], width: int = 48) -> Column:
+def _ranked_each(docs: DataFrame, key: str, fields: list[str], queries: DataFrame, limit: int | None) -> DataFrame:
+    asked = queries.select("query", query_words_of(F.col("text")).alias("w")).select("query", F.size("w").alias("need"), F.explode("w").alias("word"))
+    sized = docs.select(F.col(key), F.concat(*[words_of(F.col(f)) for f in fields]).alias("w")).select(key, F.size("w").alias("len"), "w")
+    n, avg = sized.agg(F.count("*"), F.avg("len")).first()
+    tf = sized.select(key, "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    tf = cut(tf.groupBy(key, "len", "word").agg(F.count("*").alias("tf")))
+    wanted = cut(asked.join(tf.groupBy("word").agg(F.count("*").alias("df")), "word", "left"))
+    rarest = wanted.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).where("r.df > 0").select("query", F.col("r.word").alias("word"))
+    near = rarest.join(tf.select(key, "word"), "word").select("query", key)
+    hits = near.join(wanted, "query").join(tf, [key, "word"])
+    hits = hits.groupBy("query", key).agg(F.count("*").alias("have"), F.max("need").alias("need"), F.round(F.sum(_part(n, avg)), 6).alias("score"))
+    return _best(hits, key, limit)
+
+
+def snippet(c: Column, words: list[str] | Column, width: int = 48) -> Column:
     """About ``width`` words from the first hit on, with the hits between ``**``."""
+    if isinstance(words, Column):  # plain words, as of query_words_of
+        any_word = F.array_join(words, "|")
+        before, after = F.lit(r"(?is)((?:\S+\s+){0,5}\S*\b(?:"), F.lit(rf")\b\S*(?:\s+\S+){{0,{width - 6}}})")
+        near = F.call_function("regexp_extract", c, F.concat(before, any_word, after), F.lit(1))
+        return F.when(F.size(words) == 0, "").otherwise(F.regexp_replace(near, F.concat(F.lit(r"(?i)\b("), any_word, F.lit(r")\b")), F.lit("**$1**")))
     if not words:
         return F.lit("")
     any_word = "|".join(re.escape(w) for w in words)

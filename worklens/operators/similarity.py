@@ -31,7 +31,28 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, threshold: float, stri
     return across.union(within).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
 
 
-def similar_to(sets: DataFrame, key: str, tokens: str, query: list[str], threshold: float) -> DataFrame:
-    """(key, similarity): rows similar to one set of tokens given as a parameter. A filter: no shuffle."""
+def similar_to(sets: DataFrame, key: str, tokens: str, query: list[str] | DataFrame, threshold: float) -> DataFrame:
+    """(key, similarity): rows similar to one set of tokens given as a parameter. A filter: no shuffle.
+
+    ``query`` may be a table (query, tokens) instead: then (query, key, similarity), by prefix filter as in ``similar_pairs``.
+    """
+    if isinstance(query, DataFrame):
+        return _similar_to_each(sets, key, tokens, query, threshold)
     q = F.array(*[F.lit(x) for x in query]) if query else F.array().cast("array<string>")
     return sets.select(F.col(key), jaccard(F.array_distinct(tokens), q).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _similar_to_each(sets: DataFrame, key: str, tokens: str, queries: DataFrame, threshold: float) -> DataFrame:
+    rows = sets.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
+    asked = queries.select(F.col("query").alias("k"), F.array_distinct("tokens").alias("t")).where(F.size("t") > 0)
+    df = rows.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    rarest = F.expr(f"slice(r, 1, cast(size(t) - ceil(size(t) * {threshold}D) + 1 as int))")
+
+    def heads(x: DataFrame) -> DataFrame:
+        placed = x.select("k", "t", F.explode("t").alias("w")).join(df, "w", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("r"), F.first("t").alias("t"))
+        return placed.select("k", "t", F.explode(F.transform(rarest, lambda y: y["w"])).alias("w"))
+
+    met = heads(asked).toDF("query", "tq", "w").join(heads(rows), "w")
+    close = F.least(F.size("t"), F.size("tq")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("tq"))
+    pairs = met.where(close).select("query", F.col("k").alias(key), jaccard(F.col("t"), F.col("tq")).alias("similarity")).distinct()
+    return pairs.where(F.col("similarity") >= threshold)
