@@ -3,6 +3,7 @@
 import random
 
 from tests.llm.test_pairs import brute, joined
+from worklens.llm.cooccurrence import PairTable
 from worklens.llm.near_tickets import components
 
 
@@ -23,3 +24,12 @@ def test_long_chains_in_any_order_are_one_component(spark):
     nodes = spark.createDataFrame([(i,) for i in [*ids, 20_000, 20_001, 20_002]], "cid bigint")
     root = {r["cid"]: r["root"] for r in components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert root == {i: min(ids) for i in ids} | {20_000: 20_000, 20_001: 20_000, 20_002: 20_002}
+
+
+def test_affected_pairs_are_those_that_changed(spark):
+    table, full = PairTable(spark, buckets=2), {}
+    for batch in ([("1", ["a", "b"]), ("2", ["c", "d"]), ("3", ["e", "f"])], [("1", ["a", "c"]), ("2", ["b", "d"])], []):
+        table.apply(spark.createDataFrame(batch, "basket_id string, items array<string>"))
+        before, full = full, {(r["item_a"], r["item_b"]): (r["n_both"], r["n_a"], r["n_b"]) for r in table.scores().collect()}
+        affected = {(r["item_a"], r["item_b"]) for r in table.scores(affected_only=True).collect()}
+        assert affected == {p for p in full if full[p] != before.get(p)}

@@ -56,6 +56,7 @@ class PairTable:
         self.pairs = _Buckets(spark, f"{root}/pairs", "item_a string, item_b string, n bigint", buckets)
         self.total = 0
         self.last_items: DataFrame | None = None
+        self.last_pairs: DataFrame | None = None
 
     def _bucket(self, *keys: str) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.n)).cast("int")
@@ -70,6 +71,8 @@ class PairTable:
         table.write(new.repartition("__bucket"), touched)
 
     def apply(self, changed: DataFrame) -> None:
+        self.last_items = self.spark.createDataFrame([], "item string")
+        self.last_pairs = self.spark.createDataFrame([], "item_a string, item_b string")
         clean = F.array_sort(F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull())))
         new = changed.select(F.col("basket_id").cast("string").alias("basket_id"), clean.alias("items"))
         new = new.groupBy("basket_id").agg(F.max("items").alias("now"))
@@ -90,7 +93,7 @@ class PairTable:
         pairs = pairs.groupBy("item_a", "item_b").agg(F.sum(F.col("s").cast("bigint")).alias("n")).where("n <> 0")
         self._merge(self.pairs, pairs, ["item_a", "item_b"])
         self._merge(self.items, items, ["item"])
-        self.last_items = items.select("item")
+        self.last_items, self.last_pairs = items.select("item"), pairs.select("item_a", "item_b")
         touched = [r[0] for r in both.select("__bucket").distinct().collect()]
         kept = self.baskets.read(touched).join(both.select("basket_id"), "basket_id", "left_anti").withColumn("__bucket", self._bucket("basket_id"))
         self.baskets.write(kept.unionByName(both.select("basket_id", F.col("now").alias("items"), "__bucket")).repartition("__bucket"), touched)
@@ -98,15 +101,14 @@ class PairTable:
     def scores(self, affected_only: bool = False) -> DataFrame:
         """(item_a, item_b, n_both, n_a, n_b, n_baskets, lift): item_a below item_b by code point; lift is how much more often than by chance.
 
-        With ``affected_only`` the pairs of which an item's count changed in the last batch; all other pairs have kept
+        With ``affected_only`` the pairs of which the own count or an item's changed in the last batch; all other pairs have kept
         their counts, and their lift changes only by the number of baskets.
         """
         pairs, items = self.pairs.read(), self.items.read()
         if affected_only and self.last_items is not None:
-            hit = self.last_items
-            pairs = pairs.join(hit.withColumnRenamed("item", "item_a"), "item_a", "left_semi").union(
-                pairs.join(hit.withColumnRenamed("item", "item_b"), "item_b", "left_semi").join(hit.withColumnRenamed("item", "item_a"), "item_a", "left_anti").select("item_a", "item_b", "n")
-            )
+            hits = [(self.last_items.withColumnRenamed("item", c), [c]) for c in ("item_a", "item_b")] + [(self.last_pairs, ["item_a", "item_b"])]
+            a, b, own = (pairs.join(hit, on, "left_semi").select("item_a", "item_b", "n") for hit, on in hits)
+            pairs = a.union(b).union(own).distinct()
         out = pairs.withColumnRenamed("n", "n_both")
         out = out.join(items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
         lift = F.col("n_both") * F.lit(float(self.total)) / (F.col("n_a").cast("double") * F.col("n_b"))
