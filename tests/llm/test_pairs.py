@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from worklens.llm.cooccurrence import PairTable, ticket_items
 from worklens.llm.near_tickets import components
-from worklens.llm.simjoin import _in_blocks, classes, similar_classes, word_set
+from worklens.llm.simjoin import _in_blocks, classes, sign, similar_classes, tokens_of
 
 
 def truth(baskets):
@@ -44,10 +44,12 @@ def brute(sets, least):
 
 
 def joined(spark, sets, **more):
-    df = spark.createDataFrame([(k, sorted(v), 0) for k, v in sets.items()], "key string, words array<string>, cid int")
-    reps, members = classes(df)
-    key = {r["cid"]: r["key"] for r in members.groupBy("cid").agg(F.min("key").alias("key")).collect()}
-    return {tuple(sorted((key[a], key[b]))) for a, b in similar_classes(reps, 0.6, **more).collect()}, members
+    """Pairs of keys that the join finds; members. Of each class the least key stands for it."""
+    df = spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in sets.items()], "key string, text string")
+    reps, members = classes(sign(df, ["key"], "text", least_len=1))
+    texts = lambda asked: df.join(asked.withColumnRenamed("rep", "key"), "key").select("cid", "h", "g", "text")
+    key = {r["cid"]: r["rep"] for r in reps.select("cid", "rep").collect()}
+    return {tuple(sorted((key[a], key[b]))) for a, b in similar_classes(reps, texts, 0.6, least_len=1, **more).collect()}, members
 
 
 def test_similarity_join_finds_edited_sets(spark):
@@ -59,7 +61,7 @@ def test_similarity_join_finds_edited_sets(spark):
         edited = set(random.sample(sorted(base), 26)) | {f"x{random.randint(0, 3000)}" for _ in range(3)}
         sets[f"b{i:03}"] = edited
     want = brute(sets, 0.6)
-    for more in ({}, {"limit": 8}, {"limit": 4, "most_levels": 1}):
+    for more in ({}, {"limit": 8}, {"limit": 4, "most_rows": 20}, {"limit": 2, "most_rows": 3, "most": 2}):
         got, _ = joined(spark, sets, **more)
         assert got <= want and len(got) >= 0.97 * len(want)
 
@@ -68,23 +70,30 @@ def test_copies_and_a_dense_group(spark):
     random.seed(2)
     common = {f"c{i}" for i in range(40)}
     sets = {f"k{i:03}": common | {f"u{i}"} for i in range(90)} | {f"z{i}": set(common) for i in range(3)}
-    got, members = joined(spark, sets, limit=8, most_levels=2)
+    got, members = joined(spark, sets, limit=8, most=10, most_rows=20)
     assert members.count() == len(sets) and members.select("cid").distinct().count() == 91
     keys = sorted(k for k in sets if k not in ("z1", "z2"))
     assert got == set(itertools.combinations(keys, 2))
 
 
 def test_blocks_give_every_pair(spark):
-    df = spark.createDataFrame([(1, i) for i in range(40)], "node bigint, cid bigint")
-    got = {tuple(r) for r in _in_blocks(df, 7).collect()}
-    assert got == set(itertools.combinations(range(40), 2))
+    df = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 1), (2, 2)], "node bigint, cid bigint")
+    held = {}
+    for r in _in_blocks(df, 7).collect():
+        held.setdefault(r["node"], set()).add(r["cid"])
+    got = {p for v in held.values() for p in itertools.combinations(sorted(v), 2)}
+    assert got == set(itertools.combinations(range(40), 2)) and len(held) == 16
 
 
 def test_empty_and_words(spark):
-    reps, _ = classes(spark.createDataFrame([], "key string, words array<string>"))
-    assert similar_classes(reps, 0.6).count() == 0
-    df = spark.createDataFrame([("Ab abC ABC x1y é-zzz",)], "t string").select(word_set(F.col("t")).alias("w"))
-    assert df.first()["w"] == ["abc", "x1y", "zzz"]
+    df = spark.createDataFrame([(1, "Ab abC ABC x1y \u00e9-zzz"), (2, "zzz x1y.abc"), (3, None), (4, ""), (5, "x" * 300_000 + " zzz")], "k int, t string")
+    got = {r["k"]: (sorted(r["tokens"]), r["h"], r["g"]) for r in tokens_of(df, ["k"], "t").collect()}
+    assert got[1] == got[2] and len(got[1][0]) == 3 and got[3][0] == got[4][0] == [] and len(set(got[5][0]) & set(got[1][0])) == 1
+    named = {r["k"]: (r["h"], r["g"], r["n"]) for r in sign(df, ["k"], "t").collect()}
+    assert {k: v[:2] for k, v in named.items()} == {k: v[1:] for k, v in got.items()} and named[1][2] == 3
+    empty = sign(df.where("k > 9").select(F.col("k").cast("string").alias("key"), "t"), ["key"], "t")
+    reps, _ = classes(empty)
+    assert similar_classes(reps, lambda asked: asked.select("cid", "h", "g", F.lit("").alias("text")), 0.6).count() == 0
 
 
 def test_components(spark):
@@ -92,3 +101,19 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(25, 27)], "a bigint, b bigint")
     root = {r["cid"]: r["root"] for r in components(nodes, links).collect()}
     assert {root[i] for i in range(21)} == {0} and root[27] == 25 and root[29] == 29
+
+
+def test_recall_does_not_hang_on_how_frequent_the_common_words_are(spark):
+    for n, pool in ((4000, 200), (20_000, 60)):
+        random.seed(1)
+        words, sets, want = [f"common{i}" for i in range(pool)], {}, set()
+        own = (f"own{i}" for i in itertools.count())
+        for i in range(n // 2):
+            shared = [random.sample(words, 20) for _ in "ab"]
+            if i < 2000:
+                shared[1] = shared[0]
+                want.add((f"a{i:05}", f"b{i:05}"))
+            for name, s in zip("ab", shared):
+                sets[f"{name}{i:05}"] = set(s) | {next(own) for _ in range(6)}
+        got, _ = joined(spark, sets)
+        assert len(got & want) >= 0.99 * len(want)

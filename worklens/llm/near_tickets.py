@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm.simjoin import classes, similar_classes, word_set
+from worklens.llm.simjoin import classes, sign, similar_classes
 from worklens.plans.lineage import cut, spread
-from worklens.sources.tables import latest_rows, load
+from worklens.sources.tables import load
 
+LEAST_WORDS = 12
 
-def ticket_sets(spark: SparkSession, sf_dir: str, least_words: int = 12) -> DataFrame:
-    """(key, words) of the current tickets with at least ``least_words`` distinct words in summary and description."""
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir, "tickets").select("issue_key", "updated", "summary", "description").where("issue_key is not null")
-    t = spread(t, "issue_key")
     text = F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("description", F.lit("")))
-    return latest_rows(t.select("issue_key", "updated", text.alias("text")), ["issue_key"], ["updated"]).select(F.col("issue_key").alias("key"), word_set(F.col("text")).alias("words")).where(F.size("words") >= least_words)
+    return t.select(F.col("issue_key").alias("key"), "updated", text.alias("text"))
+
+
+def ticket_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, h, g, n, ...): the signed word sets of the current tickets with at least 12 distinct words in summary and description.
+
+    Rows are signed first, so that only signatures are exchanged to find the current ones. Of rows of a key with one
+    ``updated`` the one with the greatest name (h, g) of its set counts.
+    """
+    signed = sign(spread(_texts(spark, sf_dir), "key"), ["key", "updated"], "text", least_words=LEAST_WORDS)
+    rest = [c for c in signed.columns if c not in ("key", "updated")]
+    last = signed.groupBy("key").agg(F.max(F.struct("updated", *rest)).alias("r"))
+    return last.select("key", *[f"r.{c}" for c in rest]).where(F.col("n") >= LEAST_WORDS)
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reps, members = classes(ticket_sets(spark, sf_dir))
-    return similar_classes(reps, 0.6), members
+    texts = lambda asked: _texts(spark, sf_dir).join(asked.withColumnRenamed("rep", "key"), "key").select("cid", "h", "g", "text")
+    return similar_classes(reps, texts, 0.6), members
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

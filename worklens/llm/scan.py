@@ -8,6 +8,7 @@ state before every position without visiting the positions one after the other.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 class Automaton:
@@ -62,3 +63,12 @@ class Automaton:
             done = int(self.then[done * self.size + f])
         entry = self.table[lead, start]
         return self.table[before, entry[None, :]].T.reshape(-1)[:n], done
+
+
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, and where each value begins and ends; null as empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    data = data[offsets[0] : offsets[-1]]
+    return data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]

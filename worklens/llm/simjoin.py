@@ -1,26 +1,41 @@
 """Set similarity join by chosen paths.
 
-Sets branch recursively: at a node a set goes to the children of those of its tokens whose hash, seeded by the node,
-is small enough, so similar sets meet again in a child while others part. Nodes that have become small are compared
-exhaustively, by sketches first and exactly after; large ones branch on. Independent trees raise the recall.
-
-Tokens that stand in many sets say little, so their chance of being chosen is lowered by their document frequency; the
-list of frequent tokens has a proven bound (see ``token_weights``). Exact copies of a set are one class beforehand.
+Every set is described by minwise tokens: the least token under each of many hash functions. A node of a tree picks a few
+of those functions, and its sets go to the children named by their minwise tokens there. Two sets of Jaccard similarity s
+share a minwise token with chance s whatever their tokens are, frequent or rare, so the chance that they meet depends on s
+alone and not on the data. Nodes that have become small, and those in which most sets are near the wanted similarity
+anyway so that branching no longer parts them, are compared exhaustively. Independent trees raise the recall.
+
+The trees' first nodes are spread over the cluster with all that the rest needs (a sketch for comparing, minwise tokens
+for branching: 64 bytes a set); below them each task branches on by itself over index arrays. Only nodes too large for
+a task go through another exchange. Exact copies of a set are one class beforehand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from worklens.plans.lineage import cut, parallelism, spread
+from worklens.llm.scan import buffers
+from worklens.plans.lineage import cut, parallelism
 
-SKETCH_WORDS = 4  # 64 one-bit minwise hashes each
+TREES = 12
+BITS = 256  # one-bit minwise hashes of the sketch
+COORDS = 60  # minwise tokens, four bits each, of which nodes choose theirs
+WIDTH = 2  # children that a node gives each of its sets
 MIX = np.uint64(0x9E3779B97F4A7C15)
+TOKEN_BITS = 48
+
+_PAYLOAD = [f"s{i}" for i in range(4)] + [f"c{i}" for i in range(4)]
+_TREES = [f"t{i}" for i in range(TREES // 2)]
+SIGNATURE = "h bigint, g bigint, n int, " + ", ".join(f"{c} bigint" for c in _TREES + _PAYLOAD)
+_ROW = "node bigint, cid bigint, " + ", ".join(f"{c} bigint" for c in _PAYLOAD)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,241 +45,435 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_set(text: F.Column, least: int = 3) -> F.Column:
-    """The distinct runs of ``least`` or more ASCII letters or digits, lower-cased, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9]{{{least},}}"), F.lit(0)), F.lower)))
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased ASCII letters and digits (0: none) and a random number for each byte."""
+    low = np.zeros(256, np.uint8)
+    for a, b in ((48, 57), (97, 122)):
+        low[a : b + 1] = np.arange(a, b + 1)
+    low[65:91] = np.arange(97, 123)
+    return low, _mix(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
-def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``sets`` (key, words) as representatives (cid, n, tokens array<bigint>) and members (key, cid); equal sets are one class."""
-    hashed = cut(sets.select("key", F.md5(F.concat_ws(" ", "words")).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens")))
-    reps = hashed.groupBy("h").agg(F.first("tokens").alias("tokens"))
-    reps = cut(reps.select("h", F.monotonically_increasing_id().alias("cid"), F.size("tokens").alias("n"), "tokens"))
-    return reps.select("cid", "n", "tokens"), cut(hashed.select("key", "h").join(reps.select("h", "cid"), "h").select("key", "cid"))
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, 0xA0761D6478BD642F, np.uint64)))
 
 
-SEEN_BITS = 20
+def token_sets(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``least`` or more ASCII letters or digits, without case, of each text, as hashes of 48 bits.
 
+    Returns all tokens, text by text in ascending order, and how many each text has. At most 65,536 texts. Two words of
+    one pair of texts with 200 words have one hash with a chance below 1e-9.
+    """
+    low, random = _letters()
+    n = len(begins)
+    code = low[data]
+    word = code > 0
+    after = np.append(False, word[:-1]) if len(word) else word
+    before = np.append(word[1:], False) if len(word) else word
+    some = ends > begins
+    after[begins[some]] = False
+    before[ends[some] - 1] = False
+    start, stop = np.flatnonzero(word & ~after), np.flatnonzero(word & ~before) + 1
+    long = stop - start >= least
+    start, size = start[long], (stop - start)[long]
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    off = np.cumsum(size) - size
+    place = np.arange(off[-1] + size[-1])
+    at = place - np.repeat(off - start, size)
+    terms = random[code[at]] * _powers(int(size.max()))[place - np.repeat(off, size)]
+    hashes = _mix(np.add.reduceat(terms, off))
+    text = np.searchsorted(begins[some], start, side="right") - 1
+    key = np.sort(np.flatnonzero(some)[text].astype(np.uint64) << np.uint64(TOKEN_BITS) | hashes >> np.uint64(64 - TOKEN_BITS))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    return key & np.uint64((1 << TOKEN_BITS) - 1), np.bincount((key >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=n)
+
+
+@lru_cache(maxsize=1)
+def _functions() -> np.ndarray:
+    return (_mix(np.arange(1, TREES + BITS + 1, dtype=np.uint64) * MIX) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+
+
+def _hashed(a: np.ndarray, x: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    np.multiply(a, x[None, :], out=out)
+    np.right_shift(out, np.uint32(15), out=spare)
+    np.bitwise_xor(out, spare, out=out)
+    return np.multiply(out, np.uint32(0x2C1B3C6D), out=out)
+
+
+def minwise(tokens: np.ndarray, n: np.ndarray, together: int = 256, long: int = 4096) -> np.ndarray:
+    """(functions, sets): the least hash of each set under each function; of an empty set the greatest number.
+
+    Sets are taken in order of size and token by token, so every step is one operation on a block that fits a cache.
+    """
+    a = _functions()
+    k = len(a)
+    x = (_mix(tokens * MIX) >> np.uint64(32)).astype(np.uint32)
+    out = np.full((k, len(n)), 0xFFFFFFFF, np.uint32)
+    start = np.cumsum(n) - n
+    one, two = np.empty(k * together, np.uint32), np.empty(k * together, np.uint32)
+    order = np.argsort(-n, kind="stable")
+    for i in order[: int((n > long).sum())]:
+        for at in range(start[i], start[i] + n[i], together):
+            part = x[at : min(at + together, start[i] + n[i])]
+            m = len(part)
+            block = _hashed(a, part, one[: k * m].reshape(k, m), two[: k * m].reshape(k, m))
+            out[:, i] = np.minimum(out[:, i], block.min(axis=1))
+    order = order[n[order] <= long]
+    for low in range(0, len(order), together):
+        some = order[low : low + together]
+        size, first = n[some], start[some]
+        least = np.full((k, len(some)), 0xFFFFFFFF, np.uint32)
+        for j in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -j, side="left"))  # sets with more than j tokens
+            block = _hashed(a, x[first[:m] + j], one[: k * m].reshape(k, m), two[: k * m].reshape(k, m))
+            np.minimum(least[:, :m], block, out=least[:, :m])
+        out[:, some] = least
+    return out
 
-def token_weights(reps: DataFrame, floor: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of high document frequency, sorted; their weights below 1; and which hash buckets hold a token of two sets or more.
-
-    A weight is the inverse document frequency, as a share of that of an unlisted token, and ``floor`` at least: no pair is
-    starved, whatever its common tokens are (least chances: ``similar_classes``). A token of one set only can link nothing,
-    so it weighs nothing; that is known by 2 ** SEEN_BITS buckets, and a token that shares its bucket with another is merely
-    weighed as if it were of two.
 
-    Bound: a token is listed if it stands in at least n / 1000 sets and in at least a 100,000th of all entries, so there
-    are at most 100,000 of them, whatever the corpus. Counts are over all sets, combined before the shuffle.
+def _signatures(column: pa.Array, least_len: int, least_words: int) -> list[np.ndarray]:
+    tokens, n = token_sets(*buffers(column), least_len)
+    at = np.append(0, np.cumsum(n))
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(_mix(tokens * MIX))), np.append(np.zeros(1, np.uint64), np.cumsum(_mix(tokens ^ MIX)))
+    h, g = (t[at[1:]] - t[at[:-1]] for t in total)
+    enough = n >= max(least_words, 1)
+    least = np.zeros((TREES + BITS, len(n)), np.uint32)
+    least[:, enough] = minwise(tokens[np.repeat(enough, n)], n[enough])
+    trees = np.ascontiguousarray(least[:TREES].T).view(np.uint64)
+    mixed = least[TREES:] * np.uint32(0x85EBCA6B)
+    sketch = np.packbits((mixed >> np.uint32(20) & np.uint32(1)).astype(np.uint8), axis=0)
+    coords = (mixed[:COORDS] >> np.uint32(24) & np.uint32(15)).astype(np.uint8)
+    tail = np.empty((32, len(n)), np.uint8)
+    tail[: COORDS // 2] = coords[0::2] | coords[1::2] << 4
+    size = np.minimum(n, 0xFFFF).astype(np.uint16)
+    tail[30], tail[31] = size & 0xFF, size >> 8
+    words = [np.ascontiguousarray(m.T).view(np.uint64) for m in (sketch, tail)]
+    return [h, g, n, *trees.T, *words[0].T, *words[1].T]
+
+
+def sign(df: DataFrame, keys: list[str], text_col: str, least_len: int = 3, least_words: int = 1) -> DataFrame:
+    """(keys, h, g, n, t*, s*, c*): 128 bits that name each row's set of words, its size, and its minwise tokens.
+
+    Sets of fewer than ``least_words`` words have zeros for minwise tokens; null counts as empty. A narrow stage; texts of any length.
     """
-    n, entries = reps.agg(F.count("*"), F.sum("n")).first()
-    n = n or 0
-    least = max(2.0, n / 1000, (entries or 0) / 100_000)
-    counts = cut(reps.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 1"))
-    listed = counts.where(F.col("count") >= least).toArrow()
-    token, df = listed.column(0).to_numpy().astype(np.int64), listed.column(1).to_numpy().astype(np.float64)
-    order = np.argsort(token)
-    buckets = counts.select(F.col("t").bitwiseAND(F.lit((1 << SEEN_BITS) - 1)).alias("b")).distinct().toArrow().column(0).to_numpy()
-    shared = np.zeros(1 << SEEN_BITS, bool)
-    shared[buckets.astype(np.int64)] = True
-    top = np.log(n / least) if n > least else 1.0
-    share = np.log(max(n, 1) / np.maximum(df[order], 1)) / max(top, 1e-9)
-    return token[order], np.clip(share, floor, 1.0), shared
-
-
-class _Ragged:
-    """Token lists of a batch in one array, with weights."""
-
-    def __init__(self, tokens: pa.ListArray, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        ends = tokens.offsets.to_numpy().astype(np.int64)
-        flat = tokens.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-        self.starts, self.n = ends[:-1] - ends[0], np.diff(ends)
-        self.flat = flat.view(np.uint64)
-        names, weights, shared = frequent
-        self.weight = np.ones(len(flat))
-        if len(names):
-            k = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-            self.weight = np.where(names[k] == flat, weights[k], 1.0)
-        self.weight = np.where(shared[flat & ((1 << SEEN_BITS) - 1)], self.weight, 0.0)
-        owner = np.repeat(np.arange(len(self.n)), self.n)
-        self.total = np.bincount(owner, self.weight, len(self.n))
-
-    def branch(self, node: np.ndarray, owner: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """The children of (node, owner): node ids and owners. A set has about ``width`` children, chosen by the hash of node and token."""
-        n = self.n[owner]
-        row = np.repeat(np.arange(len(owner)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.starts[owner][row]
-        h = _mix(self.flat[at] ^ _mix(node)[row])
-        u = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        hit = u * np.maximum(self.total[owner][row], 1e-9) < width * self.weight[at]
-        return _mix(h[hit] * MIX + np.uint64(1)), owner[row[hit]]
-
-
-def _sketch(r: _Ragged) -> np.ndarray:
-    """(sets, SKETCH_WORDS) of uint64: one bit of each of 64 * SKETCH_WORDS minwise hashes."""
-    out = np.zeros((len(r.n), SKETCH_WORDS), np.uint64)
-    some = r.n > 0
-    if not some.any():
-        return out
-    seeds = _mix(np.arange(1, 64 * SKETCH_WORDS + 1, dtype=np.uint64) * MIX) | np.uint64(1)
-    starts = r.starts[some]
-    for i, a in enumerate(seeds):
-        v = r.flat * a
-        v ^= v >> np.uint64(31)
-        least = np.minimum.reduceat(v * MIX, starts)
-        out[some, i // 64] |= (_mix(least) & np.uint64(1)) << np.uint64(i % 64)
-    return out
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
+    fields = T._parse_datatype_string(SIGNATURE).fieldNames()
 
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                cols = _signatures(batch.column(len(keys)), least_len, least_words)
+                arrays = [pa.array(c.astype(np.int32) if f == "n" else np.ascontiguousarray(c).view(np.int64)) for f, c in zip(fields, cols)]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))] + arrays, names=[*keys, *fields])
+
+    return df.select(*[F.col(f"`{c}`") for c in keys], F.col(f"`{text_col}`").cast("string")).mapInArrow(run, ", ".join([*kinds, SIGNATURE]))
+
+
+def tokens_of(df: DataFrame, keys: list[str], text_col: str, least_len: int = 3) -> DataFrame:
+    """(keys, h, g, tokens array<bigint>): the set of words of each row's text, as ``sign`` takes it."""
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                tokens, n = token_sets(*buffers(batch.column(len(keys))), least_len)
+                ends = np.append(0, np.cumsum(n))
+                sums = [np.append(np.zeros(1, np.uint64), np.cumsum(_mix(t))) for t in (tokens * MIX, tokens ^ MIX)]
+                names = [pa.array((s[ends[1:]] - s[ends[:-1]]).view(np.int64)) for s in sums]
+                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))] + names + [sets], names=[*keys, "h", "g", "tokens"])
 
-NODE = "node bigint, cid bigint, n int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH_WORDS))
+    return df.select(*[F.col(f"`{c}`") for c in keys], F.col(f"`{text_col}`").cast("string")).mapInArrow(run, ", ".join([*kinds, "h bigint, g bigint, tokens array<bigint>"]))
 
 
-def _node_batch(node: np.ndarray, owner: np.ndarray, cid: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(node.view(np.int64)), pa.array(cid[owner]), pa.array(n[owner].astype(np.int32))] + [pa.array(np.ascontiguousarray(sketch[owner, i]).view(np.int64)) for i in range(SKETCH_WORDS)]
-    return pa.RecordBatch.from_arrays(cols, names=["node", "cid", "n", *(f"s{i}" for i in range(SKETCH_WORDS))])
+def classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``signed`` (key, h, g, n, ...) as representatives (cid, rep, h, g, t*, s*, c*) and members (key, cid); equal sets are one class.
 
+    ``rep`` is the least key of the class. Counted with map-side combine, so copies by the million are no single task.
+    """
+    signed = cut(signed.select("key", "h", "g", *_TREES, *_PAYLOAD))
+    same = [F.first(c).alias(c) for c in _TREES + _PAYLOAD]
+    reps = cut(signed.groupBy("h", "g").agg(F.min("key").alias("rep"), *same).withColumn("cid", F.monotonically_increasing_id()))
+    members = signed.select("key", "h", "g").join(reps.select("h", "g", "cid"), ["h", "g"]).select("key", "cid")
+    return reps, members
+
+
+def _children(node: np.ndarray, coords: np.ndarray) -> np.ndarray:
+    """(WIDTH, rows): the children of each row, by its minwise tokens at the coordinates that its node chooses."""
+    seed = _mix(node ^ MIX)
+    c = (seed % np.uint64(COORDS)).astype(np.int64)
+    step = (seed >> np.uint64(32)) % np.uint64(COORDS - 1) + np.uint64(1)
+    out = np.empty((WIDTH, len(node)), np.uint64)
+    row = np.arange(len(node))
+    for k in range(WIDTH):
+        value = coords[row, c >> 4] >> (np.uint64(4) * (c & 15).astype(np.uint64)) & np.uint64(15)
+        out[k] = _mix(node * MIX + (c.astype(np.uint64) << np.uint64(4) | value) + np.uint64(1))
+        c = (c + step.astype(np.int64)) % COORDS
+    return out
 
-def _pairs_of_nodes(limit: int, similarity: float, slack_bits: int):
-    """Over rows sorted by node: pairs of nodes of up to ``limit`` sets; rows of larger nodes come out as they are, kind 1."""
 
-    def close(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
-        lo, hi = np.minimum(c["n"][i], c["n"][j]), np.maximum(c["n"][i], c["n"][j])
-        ok = lo >= similarity * hi
-        bits = np.zeros(len(i), np.int64)
-        for k in range(SKETCH_WORDS):
-            bits += np.bitwise_count((c[f"s{k}"][i] ^ c[f"s{k}"][j]).view(np.uint64))
-        agree = 64 * SKETCH_WORDS - bits
-        return ok & (agree >= 32 * SKETCH_WORDS * (1 + similarity) - slack_bits)
+class _Nodes:
+    """Rows of whole nodes: ``add`` them, ``pairs`` gives the candidates among them.
 
-    def emit(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    ``limit``: nodes of so many sets are compared as they are. ``most``: larger ones that branching doesn't part are
+    compared too if they have up to so many sets; still larger ones are left in ``dense`` as row numbers. A node has
+    ceased to part if its children together would hold at least nine tenths of its pairs: its sets are then about as
+    similar as what is sought.
+    """
 
-    def work(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node = c["node"]
-        first = np.append(True, node[1:] != node[:-1])
-        group = np.cumsum(first) - 1
-        size = np.bincount(group)[group]
-        large = size > limit
-        if large.any():
-            yield emit(1, node[large], c["cid"][large])
-        keep = np.flatnonzero((size > 1) & ~large)
-        c = {k: v[keep] for k, v in c.items()}
-        node = c["node"]
-        for d in range(1, limit):
-            i = np.flatnonzero(node[:-d] == node[d:]) if len(node) > d else np.zeros(0, np.int64)
+    def __init__(self, similarity: float, limit: int, most: int, deviations: float) -> None:
+        self.limit, self.most, self.similarity = limit, most, similarity
+        same = (1 + similarity) / 2
+
+        def allowed(bits: int) -> int:
+            return int(np.ceil(bits * (1 - same) + deviations * (bits * same * (1 - same)) ** 0.5))
+
+        self.half, self.whole = allowed(BITS // 2), allowed(BITS)
+
+    def compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        s = self.sketch
+        bits = np.bitwise_count(s[i, 0] ^ s[j, 0]) + np.bitwise_count(s[i, 1] ^ s[j, 1])
+        ok = np.flatnonzero(bits <= self.half)
+        if not len(ok):
+            return
+        i, j, bits = i[ok], j[ok], bits[ok].astype(np.int64)
+        bits += np.bitwise_count(s[i, 2] ^ s[j, 2]).astype(np.int64) + np.bitwise_count(s[i, 3] ^ s[j, 3])
+        a, b = self.size[i], self.size[j]
+        ok = (bits <= self.whole) & (np.minimum(a, b) >= self.similarity * np.maximum(a, b))
+        i, j = self.cid[i[ok]], self.cid[j[ok]]
+        self.found.append(np.stack([np.minimum(i, j), np.maximum(i, j)])[:, i != j])
+
+    def exhaust(self, rows: np.ndarray, sizes: np.ndarray) -> None:
+        """All pairs within each run of ``sizes`` rows."""
+        first = np.cumsum(sizes) - sizes
+        left = np.repeat(first + sizes, sizes) - np.arange(len(rows))  # rows of its run from this one on
+        i = np.arange(len(rows))
+        d = 1
+        while True:
+            i = i[left[i] > d]
             if not len(i):
-                break
-            ok = close(i, i + d, c)
-            a, b = c["cid"][i[ok]], c["cid"][i[ok] + d]
-            differ = a != b
-            a, b = a[differ], b[differ]
-            if len(a):
-                yield emit(0, np.minimum(a, b), np.maximum(a, b))
+                return
+            for at in range(0, len(i), 1 << 20):
+                part = i[at : at + (1 << 20)]
+                self.compare(rows[part], rows[part + d])
+            d += 1
+
+    def pairs(self, node: np.ndarray, cid: np.ndarray, payload: np.ndarray) -> np.ndarray:
+        """(2, n): candidates, each once; ``payload`` (rows, 8), rows of a node together."""
+        self.cid, self.sketch, coords = cid, np.ascontiguousarray(payload[:, :4]), np.ascontiguousarray(payload[:, 4:])
+        self.size = (coords[:, 3] >> np.uint64(48)).astype(np.int64)
+        self.found, self.dense = [np.zeros((2, 0), np.int64)], []
+        work = [(node, np.arange(len(node)))]
+        while work:
+            key, row = work.pop()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(first, len(key)))
+            small = (sizes > 1) & (sizes <= self.limit)
+            self.exhaust(row[np.repeat(small, sizes)], sizes[small])
+            large = sizes > self.limit
+            if not large.any():
+                continue
+            inside = np.repeat(large, sizes)
+            key, row, sizes = key[inside], row[inside], sizes[large]
+            parent = np.repeat(np.arange(len(sizes)), sizes)
+            child = _children(key, coords[row]).reshape(-1)
+            order = np.argsort(child, kind="stable")
+            child, row2, parent2 = child[order], np.tile(row, WIDTH)[order], np.tile(parent, WIDTH)[order]
+            begin = np.flatnonzero(np.append(True, child[1:] != child[:-1]))
+            born = np.diff(np.append(begin, len(child)))
+            kept = np.bincount(parent2[begin], born.astype(np.float64) ** 2, len(sizes))
+            stuck = kept >= 0.9 * sizes.astype(np.float64) ** 2
+            if stuck.any():
+                at = np.cumsum(sizes) - sizes
+                for k in np.flatnonzero(stuck):
+                    group = row[at[k] : at[k] + sizes[k]]
+                    if sizes[k] <= self.most:
+                        self.exhaust(group, sizes[k : k + 1])
+                    else:
+                        self.dense.append(group)
+            go = ~stuck[parent2] & np.repeat(born > 1, born)
+            child, row2 = child[go], row2[go]
+            while len(child):  # pieces of whole nodes, so that the arrays stay bounded
+                upto = len(child)
+                if upto > 400_000:
+                    upto = int(np.searchsorted(child, child[400_000], side="left")) or int(np.searchsorted(child, child[400_000], side="right"))
+                work.append((child[:upto], row2[:upto]))
+                child, row2 = child[upto:], row2[upto:]
+        pair = np.concatenate(self.found, axis=1)
+        return np.unique(pair, axis=1) if pair.shape[1] else pair
+
+
+_OUT = "kind tinyint, " + _ROW
+
+
+def _out(kind: int, a: np.ndarray, b: np.ndarray, payload: np.ndarray | None = None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(a), pa.int64())] * 8 if payload is None else [pa.array(np.ascontiguousarray(payload[:, i]).view(np.int64)) for i in range(8)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(b), *rest], names=["kind", "node", "cid", *_PAYLOAD])
+
+
+def _compared(similarity: float, limit: int, most: int, most_rows: int, deviations: float, whole: bool = False):
+    """Over rows sorted by node: (0, a, b) for candidates; (1, row) for rows of nodes of more than ``most_rows`` sets, to be branched
+    on; (2, row) for rows of nodes of more than ``most`` sets that branching doesn't part. ``whole``: every node is compared as it is."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        overflowing = None  # the node of which rows went out already
+        nodes = _Nodes(similarity, 1 << 60 if whole else limit, most, deviations)
+        pending: list[tuple] = []
+        open_: list[tuple] = []
+        counts = {"pending": 0, "open": 0}
+        flooded: dict[int, int] = {}
+
+        def work() -> Iterator[pa.RecordBatch]:
+            node, cid, payload = (np.concatenate(x) for x in zip(*pending))
+            pending.clear()
+            counts["pending"] = 0
+            found = nodes.pairs(node, cid, payload)
+            if found.shape[1]:
+                yield _out(0, found[0], found[1])
+            for k, group in enumerate(nodes.dense):  # a name of its own for each: all its pairs are looked at
+                yield _out(2, np.full(len(group), _mix(node[group[:1]] + np.uint64(k))[0]), cid[group], payload[group])
+
         for batch in stream:
-            c = {f: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema.names)}
-            if held is not None:
-                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
-            if not len(c["node"]):
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)]
+            rows = (cols[0].view(np.uint64), cols[1], np.stack([c.view(np.uint64) for c in cols[2:]], axis=1))
+            node = rows[0]
+            if not len(node):
                 continue
-            last = c["node"][-1]
-            if overflowing is not None:
-                more = c["node"] == overflowing
-                if more.any():
-                    yield emit(1, c["node"][more], c["cid"][more])
-                    c = {k: v[~more] for k, v in c.items()}
-                if last != overflowing:
-                    overflowing = None
-            open_ = c["node"] == last
-            if open_.sum() > limit:  # too large for sure: let go of it, so that no group is held
-                yield emit(1, c["node"][open_], c["cid"][open_])
-                overflowing, held = last, None
-            else:
-                held = {k: v[open_] for k, v in c.items()}
-            closed = {k: v[~open_] for k, v in c.items()}
-            if len(closed["node"]):
-                yield from work(closed)
-        if held is not None and len(held["node"]):
-            yield from work(held)
+            if flooded:
+                name, kind = next(iter(flooded.items()))
+                same = int((node == name).sum())
+                if same:
+                    yield _out(kind, node[:same], rows[1][:same], rows[2][:same])
+                    rows = tuple(x[same:] for x in rows)
+                    node = rows[0]
+                    if not len(node):
+                        continue
+                flooded.clear()
+            differ = np.flatnonzero(node != node[-1])
+            k = int(differ[-1]) + 1 if len(differ) else 0
+            if open_ and (k or open_[0][0][0] != node[0]):
+                joins = int((node[:k] == open_[0][0][0]).sum()) if k else 0
+                pending += open_ + ([tuple(x[:joins] for x in rows)] if joins else [])
+                counts["pending"] += counts["open"] + joins
+                if k > joins:
+                    pending.append(tuple(x[joins:k] for x in rows))
+                    counts["pending"] += k - joins
+                open_, counts["open"] = [], 0
+            elif k:
+                pending.append(tuple(x[:k] for x in rows))
+                counts["pending"] += k
+            open_.append(tuple(x[k:] for x in rows))
+            counts["open"] += len(node) - k
+            if counts["open"] > most_rows and not whole:
+                name, cid, payload = (np.concatenate(x) for x in zip(*open_))
+                child = _children(name, payload[:, 4:])
+                held = sum((np.unique(c, return_counts=True)[1].astype(np.float64) ** 2).sum() for c in child)
+                kind = 2 if held >= 0.9 * float(len(name)) ** 2 else 1
+                yield _out(kind, name, cid, payload)
+                flooded[int(name[0])] = kind
+                open_, counts["open"] = [], 0
+            if counts["pending"] > 150_000:
+                yield from work()
+        pending += open_
+        if pending:
+            yield from work()
 
     return run
 
 
-def similar_classes(reps: DataFrame, similarity: float = 0.6, *, trees: int = 8, width: float = 2.5, depth: int = 2, limit: int = 64, most_levels: int = 8, slack_bits: int = 28) -> DataFrame:
-    """Pairs of representatives (a, b), a < b, with Jaccard similarity of at least ``similarity``; exact, with a recall set by ``trees``.
+def _branched(levels: int = 1):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)]
+            node, cid, payload = cols[0].view(np.uint64), cols[1], np.stack([c.view(np.uint64) for c in cols[2:]], axis=1)
+            for _ in range(levels):
+                node = _children(node, payload[:, 4:]).reshape(-1)
+                cid, payload = np.tile(cid, WIDTH), np.tile(payload, (WIDTH, 1))
+            yield _out(0, node, cid, payload).select(["node", "cid", *_PAYLOAD])
 
-    ``depth`` levels are branched in one narrow pass; nodes of more than ``limit`` sets branch on, level by level. What is
-    still large after ``most_levels`` is compared block by block, so no pair is given up and no group is held by a task.
-    Least chances of a pair of similarity 0.6 to meet, if all that it shares weighs the floor of 0.5 and all else 1: 1.07
-    shared children a level if one set holds the other, 1.5 if they are of one size, so at least 99.6 and 99.99 % meet
-    within two levels, 97.2 and 99.9 % within four, 86.6 and 99.9 % within ten, the most there are.
-    ``slack_bits``: how far a sketch may lie below its expected agreement (about 4.4 standard deviations).
+    return run
+
+
+def similar_classes(
+    reps: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    similarity: float = 0.6,
+    *,
+    least_len: int = 3,
+    limit: int = 64,
+    most: int = 20_000,
+    most_rows: int = 400_000,
+    deviations: float = 3.5,
+) -> DataFrame:
+    """Pairs of representatives (a, b), a < b, with Jaccard similarity of at least ``similarity``; each pair exact, with a recall that is set by the trees.
+
+    ``texts`` gives (cid, h, g, text) of the representatives (cid, rep, h, g) it is asked for; rows of which the words are
+    not those of (h, g) are passed over, so it may give several for each.
+
+    Recall: a pair of similarity s stands together in a tree's first node with chance s and then in either of two children
+    with s + (1 - s) / 16, so the chance r to be found below a node is at least 1 - (1 - (s + (1 - s) / 16) r) ** 2, which
+    does not fall below 0.64 for s = 0.6 however deep the tree. With 12 trees a pair of similarity 0.6 is missed with a
+    chance of at most 0.3 % (0.1 % within three levels), one of 0.7 with 0.002 %, whatever its words. The sketches pass
+    over 0.02 % at 0.6 (``deviations`` standard deviations) and far fewer above. Nothing is capped: nodes of more than
+    ``most_rows`` sets are branched in a further exchange, and where branching does not part them compared block by block.
     """
     spark = reps.sparkSession
-    frequent = spark.sparkContext.broadcast(token_weights(reps))
-
-    def plant(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                r = _Ragged(part.column(2), frequent.value)
-                cid = part.column(0).to_numpy(zero_copy_only=False)
-                sketch = _sketch(r)
-                owner = np.tile(np.arange(len(cid)), trees)
-                node = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64) * MIX), len(cid))
-                for _ in range(depth):
-                    node, owner = r.branch(node, owner, width)
-                yield _node_batch(node, owner, cid, r.n, sketch)
-
-    def grow(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                r = _Ragged(part.column(2), frequent.value)
-                cid = part.column(0).to_numpy(zero_copy_only=False)
-                node = part.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-                _, first, same = np.unique(cid, return_index=True, return_inverse=True)
-                sketch = _sketch(_Ragged(part.column(2).take(pa.array(first)), frequent.value))[same]
-                node, owner = r.branch(node, np.arange(len(cid)), width)
-                yield _node_batch(node, owner, cid, r.n, sketch)
-
-    def compared(nodes: DataFrame) -> DataFrame:
-        return cut(nodes.repartition(2 * parallelism(spark), "node").sortWithinPartitions("node").mapInArrow(_pairs_of_nodes(limit, similarity, slack_bits), "kind tinyint, a bigint, b bigint"))
-
-    out = compared(reps.mapInArrow(plant, NODE))
-    found = [out.where("kind = 0").select("a", "b")]
-    for _ in range(most_levels):
-        large = out.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("cid"))
-        if large.isEmpty():
+    cores = parallelism(spark)
+    n = reps.count()
+    parts = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TREES // 200_000))
+    half = [F.col(c) for c in _TREES]
+    values = [x for c in half for x in (c.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32))]
+    first = F.explode(F.array(*[F.xxhash64(F.lit(i), v) for i, v in enumerate(values)])).alias("node")
+    rows = reps.select(first, "cid", *_PAYLOAD)
+    hot = max(most_rows // 2, n * TREES // (8 * cores))
+    if n > hot:  # nodes that would make a task too large are branched before they are exchanged; at most 8 * cores of them
+        names = cut(reps.select(first).groupBy("node").agg(F.count("*").alias("sets")).where(F.col("sets") > hot))
+        top = names.agg(F.max("sets")).first()[0]
+        if top:
+            marked = rows.join(F.broadcast(names.withColumn("hot", F.lit(True)).drop("sets")), "node", "left").select("node", "cid", *_PAYLOAD, "hot")
+            parted = marked.where("hot").drop("hot").mapInArrow(_branched(max(1, int(np.ceil(np.log2(top / hot))))), _ROW)
+            rows = marked.where("hot is null").drop("hot").union(parted)
+
+    def compared(nodes: DataFrame, n_parts: int, **more) -> DataFrame:
+        met = nodes.repartition(n_parts, "node").sortWithinPartitions("node")
+        return cut(met.mapInArrow(_compared(similarity, limit, most, most_rows, deviations, **more), _OUT))
+
+    found = []
+    while True:
+        out = compared(rows, parts)
+        found.append(out.where("kind = 0").select(F.col("node").alias("a"), F.col("cid").alias("b")))
+        rest = {r[0]: r[1] for r in out.where("kind > 0").groupBy("kind").count().collect()}
+        if 2 in rest:
+            blocks = _in_blocks(out.where("kind = 2").drop("kind"))
+            met = compared(blocks, max(parts, -(-rest[2] // 10_000)), whole=True)
+            found.append(met.where("kind = 0").select(F.col("node").alias("a"), F.col("cid").alias("b")))
+        if 1 not in rest:
             break
-        out = compared(reps.join(large, "cid").select("cid", "n", "tokens", "node").mapInArrow(grow, NODE))
-        found.append(out.where("kind = 0").select("a", "b"))
-    else:
-        found.append(_in_blocks(out.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("cid"))))
+        rows = out.where("kind = 1").drop("kind").mapInArrow(_branched(), _ROW)
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
-    pairs = cut(pairs.distinct())
-    return verify(pairs, reps, similarity)
-
-
-def _in_blocks(large: DataFrame, block: int = 512) -> DataFrame:
-    """All pairs within each remaining large node, each pair of blocks a group of its own."""
-    sizes = large.groupBy("node").count().select("node", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = large.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    other = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, mine) as lo, greatest(o, mine) as hi))")
-    copies = placed.select("node", "cid", "mine", F.explode(other).alias("p")).select("node", "p.*", "cid", "mine")
-    left, right = copies.where("mine = lo"), copies.where("mine = hi").select("node", "lo", "hi", F.col("cid").alias("other"))
-    met = left.join(right, ["node", "lo", "hi"]).where("lo < hi or cid < other").where("cid <> other")
-    return met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-
-
-def verify(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Of candidate ``pairs`` (a, b) those whose sets really have the similarity."""
-    x = reps.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    y = reps.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("k", F.size(F.array_intersect("ta", "tb")))
-    return both.where(F.col("k") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+    return verify(cut(pairs.distinct()), reps, texts, similarity, least_len)
+
+
+def _in_blocks(dense: DataFrame, block: int = 4096) -> DataFrame:
+    """Rows of nodes as rows of nodes for each pair of blocks, so that all pairs of a node stand together in one of them."""
+    sizes = dense.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = dense.join(sizes, "node").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = F.expr("transform(sequence(0, blocks - 1), o -> xxhash64(node, least(o, mine), greatest(o, mine)))")
+    # A block alone needs no node of its own where it stands with another.
+    other = F.when(F.col("blocks") > 1, F.filter(other, lambda x: x != F.xxhash64("node", "mine", "mine"))).otherwise(other)
+    return placed.select(F.explode(other).alias("node"), *[c for c in dense.columns if c != "node"])
+
+
+def verify(pairs: DataFrame, reps: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, least_len: int = 3) -> DataFrame:
+    """Of candidate ``pairs`` (a, b) those whose sets really have the similarity. Only texts of candidates are read."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    asked = reps.select("cid", "rep", "h", "g").join(involved, "cid", "left_semi")
+    got = tokens_of(texts(asked).select("cid", F.col("h").alias("__h"), F.col("g").alias("__g"), "text"), ["cid", "__h", "__g"], "text", least_len)
+    sets = cut(got.where("h = __h and g = __g").groupBy("cid").agg(F.first("tokens").alias("tokens")))
+    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").withColumn("k", F.size(F.array_intersect("ta", "tb")))
+    return both.where(F.col("k") >= F.lit(similarity) * (F.size("ta") + F.size("tb") - F.col("k"))).select("a", "b")
