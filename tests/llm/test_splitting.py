@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
-import numpy as np
 import pytest
 
 from tests.llm.brute import blocks
-from worklens.llm.splitting import find_large_blocks, large_blocks_of_files, split_items, split_text
+from worklens.llm import splitting
+from worklens.llm.splitting import find_large_blocks, large_blocks_of_files, pieces_of_files, split_items, split_text
 
 PARTS = ["\n", "\r\n", "\r", "\n\n", "# h", "## x\n", "text é語", "```", "~~~", " ```py", "  ~~~", " ", "\t", " ", "#nohead", "\n \n", "word word. ", "###### x", "####### y", "``", "\n```\n", "\n~~~\n"]
 
@@ -45,14 +46,41 @@ def test_split_items(spark):
     assert sorted(r["piece_no"] for r in rows) == [0, 1]
 
 
-@pytest.mark.parametrize("range_bytes", [16, 64, 100000])
-def test_files_by_ranges(spark, tmp_path, range_bytes):
-    paths, want = [], set()
-    for i, t in enumerate(texts(12, 120)):
+AWKWARD = ["", None, " " * 70 + "```\nx\n" + " " * 70 + "\n# h\n```\nend. of it", "x" * 400, "a\r\n" * 60, "\u00a0" * 60 + "\n\u00a0x", "# " + "t" * 90 + "\n" + "y. " * 50, "\r" * 30 + "\n" * 9, "\U0001f600" * 80]
+
+
+@pytest.mark.parametrize("range_bytes,per_task,limit,overlap", [(16, 3, 20, 5), (64, 1024, 50, 10)])
+def test_ranges_of_rows_change_nothing(spark, monkeypatch, range_bytes, per_task, limit, overlap):
+    monkeypatch.setattr(splitting, "SUPER", per_task)
+    rows = [(i if i % 7 else None, "Crumb" if i % 2 else " ", t, 3) for i, t in enumerate([*texts(30, 60), *AWKWARD])]
+    df = spark.createDataFrame(rows, "id int, crumb string, content string, block_no int")
+    want = Counter((rows[i][0], k + 1) for i in range(len(rows)) for k, n in enumerate(blocks(rows[i][2] or "")) if n > limit)
+    assert Counter((r["id"], r["block_no"]) for r in find_large_blocks(df, ["id"], "content", limit, range_bytes).collect()) == want
+    whole, cut = (Counter(map(tuple, split_items(df, ["id"], "content", "crumb", limit, overlap, **more).collect())) for more in ({}, {"range_bytes": range_bytes}))
+    assert cut == whole
+
+
+@pytest.mark.parametrize("range_bytes,per_task", [(16, 3), (100000, 3)])
+def test_files_by_ranges(spark, tmp_path, monkeypatch, range_bytes, per_task):
+    monkeypatch.setattr(splitting, "SUPER", per_task)
+    paths, want, pieces = [], set(), set()
+    for i, t in enumerate([*texts(5, 120), *filter(None, AWKWARD)]):
         path = tmp_path / f"{i}.md"
         path.write_bytes(t.encode())
-        paths.append(str(path))
-        want |= {(str(path), k + 1, n) for k, n in enumerate(blocks(t)) if n > 10}
-    got = {(r["path"], r["block_no"], r["points"]) for r in large_blocks_of_files(spark, paths, 10, range_bytes, super_ranges=3).collect()}
+        paths.append(f"file:{path}")
+        want |= {(f"file:{path}", k + 1, n) for k, n in enumerate(blocks(t)) if n > 10}
+        pieces |= {(f"file:{path}", no, s, n, e, head, t[s:e]) for no, (s, n, e, head) in enumerate(split_text(t, 20, 5))}
+    got = {(r["path"], r["block_no"], r["points"]) for r in large_blocks_of_files(spark, paths, 10, range_bytes).collect()}
     assert got == want
-    assert np.isfinite(len(got))
+    got = {(r["path"], r["piece_no"], r["start"], r["new"], r["end"], r["heading"] or "", r["piece"]) for r in pieces_of_files(spark, paths, 20, 5, range_bytes).collect()}
+    assert got == pieces
+
+
+def test_a_file_of_one_line_is_read_by_ranges(spark, tmp_path):
+    path = tmp_path / "line.txt"
+    path.write_text("word " * 60_000)
+    ranges = splitting.ranges_of_files(spark, [str(path)], 10_000, 200, 20).collect()
+    assert len(ranges) == 30 and max(len(r["data"]) for r in ranges) <= 10_000 + sum(splitting._halo(200, 20))
+    got = sorted(pieces_of_files(spark, [str(path)], 200, 20, 10_000).collect(), key=lambda r: r["piece_no"])
+    assert [(r["start"], r["new"], r["end"]) for r in got] == [p[:3] for p in split_text("word " * 60_000, 200, 20)]
+    assert large_blocks_of_files(spark, [str(path)], 2000, 10_000).first()["points"] == 300_000

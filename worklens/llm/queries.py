@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from worklens.llm import bpe, cooccurrence, language, near_tickets, packing, splitting
 from worklens.sources.tables import load
@@ -23,6 +24,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def p5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item that is cut: how much of it the pieces hold, and whether all are bounded, overlap as they must and say what the item says."""
+    cut = splitting.pieces(spark, sf_dir)
+    texts = splitting.long_items(spark, sf_dir).select("item_kind", "item_id", "content")
+    both = cut.join(texts, ["item_kind", "item_id"])
+    overlap = F.when(F.col("piece_no") == 0, F.col("start") == 0).otherwise((F.col("new") - F.col("start") == 100) & (F.col("start") > 0))
+    exact = F.col("piece") == F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")
+    return both.groupBy("item_kind", "item_id").agg(
+        F.sum(F.col("end") - F.col("new")).alias("covered"), F.max("end").alias("n_chars"), (F.max(F.col("end") - F.col("start")) <= 2000).alias("bounded"), F.every(overlap).alias("overlapping"), F.every(exact).alias("exact")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": near_tickets.found,
     "p2_groups": near_tickets.groups,
@@ -30,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_scores": p3_scores,
     "p5_found": splitting.found,
     "p5_pieces": splitting.pieces,
+    "p5_rules": p5_rules,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": language.found,
@@ -63,7 +77,35 @@ sizes as (select issue_key, count(*) as n from words group by 1 having count(*)
 common as (select a.issue_key as key_a, b.issue_key as key_b, count(*) as k from words a join words b on a.w = b.w and a.issue_key < b.issue_key group by 1, 2),
 pairs as (select key_a, key_b from common join sizes x on x.issue_key = key_a join sizes y on y.issue_key = key_b where k >= 0.6 * (x.n + y.n - k))"""
 
+_TEXTS = """items as (
+  select 'page' as item_kind, id as item_id, content from (select *, row_number() over (partition by id order by indexed_at desc) as rn from pages) where rn = 1
+  union all select 'chunk', id::varchar, max(content) from chunks group by id
+)"""
+
+_BLOCKS = f"""with recursive {_TEXTS},
+split as (select item_kind, item_id, string_split(regexp_replace(content, '\\r\\n|\\r', chr(10), 'g'), chr(10)) as l from items where length(content) > 2000),
+line as (select item_kind, item_id, i, l[i] as t from (select *, unnest(range(1, len(l) + 1 - (l[-1] = '')::int)) as i from split)),
+kind as (select *, regexp_extract(t, '^ *(```|~~~)', 1) as fence, regexp_full_match(t, '[ \\t\\x{{A0}}]*') as blank, regexp_matches(t, '^#{{1,6}} ') as head from line),
+mark as (select item_kind, item_id, i, fence, row_number() over (partition by item_kind, item_id order by i) as r from kind where fence <> ''),
+walk as (
+  select item_kind, item_id, i, r, fence as opened from mark where r = 1
+  union all select m.item_kind, m.item_id, m.i, m.r, case when w.opened = '' then m.fence when w.opened = m.fence then '' else w.opened end
+  from walk w join mark m on m.item_kind = w.item_kind and m.item_id = w.item_id and m.r = w.r + 1
+),
+known as (
+  select k.*, coalesce(last_value(w.opened ignore nulls) over (partition by k.item_kind, k.item_id order by k.i rows between unbounded preceding and 1 preceding), '') as inside
+  from kind k left join walk w using (item_kind, item_id, i)
+),
+part as (select *, inside = '' and fence = '' and not blank and not head as plain from known),
+begin as (
+  select *, inside = '' and fence <> '' or plain and not coalesce(lag(plain) over (partition by item_kind, item_id order by i), false) as opens, inside <> '' or fence <> '' or plain as held from part
+),
+numbered as (select *, sum(opens::int) over (partition by item_kind, item_id order by i) as block_no from begin)
+select item_kind, item_id, block_no::int as block_no from numbered where held group by all having sum(length(t)) + count(*) - 1 > 2000"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": _BLOCKS,
+    "p5_rules": f"with {_TEXTS} select item_kind, item_id, length(content) as n_chars, length(content) as covered, true as bounded, true as overlapping, true as exact from items where length(content) > 2000",
     "p2_found": f"with {_PAIRS} select key_a, key_b from pairs",
     "p3_found": f"with {_ITEMS} select item_a, item_b from scored where n_both >= 6 and n_both * n_baskets >= 3 * n_a * n_b",
     "p3_scores": f"with {_ITEMS} select * from scored",
