@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from worklens import catalogue
 from worklens.functions import dates, text
 from worklens.operators import search, sections, similarity, stats, timeline
-from worklens.sources import store
+from worklens.sources import buckets, store
 from worklens.streaming import sync
 
 
@@ -96,10 +97,37 @@ def test_store(spark):
     assert left.count() == 2 and [r[0] for r in kids.collect()] == ["a"] and n.first()[0] == 1
 
 
-def test_stream_sync(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, s string")
+def test_stream_sync_by_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", 1, "x") for i in range(40)], "k string, v int, s string")
     src, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for n, batch in enumerate((df, df.where("k = 'a'").withColumn("v", F.lit(7)))):
+    batches = (df, df.where("k = 'k7'").withColumn("v", F.lit(7)), df.where("k = 'k7'").withColumn("v", F.lit(3)).union(df.limit(0)))
+    places = []
+    for batch in batches:
         batch.coalesce(1).write.mode("append").parquet(src)
         sync.sync(spark, src, df.schema, target, str(tmp_path / "cp"), ["k"], ["v"]).awaitTermination()
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{target}/v1").collect()} == {("a", 7), ("b", 1)}
+        places.append(dict(sync.synced(spark, target, df.schema, ["k"]).places))
+    table = sync.synced(spark, target, df.schema, ["k"])
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {(f"k{i}", 7 if i == 7 else 1) for i in range(40)}
+    assert len(places[0]) > 1 and sum(places[0][b] != places[1][b] for b in places[0]) == 1
+    assert not buckets.upsert_into(table, df.withColumn("v", F.lit(99)), ["v"], table.store.state["number"])
+    first, second = sync.synced(spark, target, df.schema, ["k"]), sync.synced(spark, target, df.schema, ["k"])
+    assert buckets.upsert_into(first, df.where("k = 'k1'").withColumn("v", F.lit(5)), ["v"])
+    with pytest.raises(RuntimeError):
+        buckets.upsert_into(second, df, ["v"])
+    again = buckets.Table(buckets.Store(spark, target), "rows", "k string, v int, s string", ["k"], rows_a_bucket=5)
+    assert buckets.upsert_into(again, df.withColumn("k", F.concat("k", F.lit("x"))), ["v"])
+    assert again.n > 4 and again.read().count() == 80 == again.store.state["rows-rows"]
+    assert len([x for x in os.listdir(target) if x.startswith("v")]) <= 6
+
+
+def test_windowed_counts_as_a_stream_drop_late_rows(spark, tmp_path):
+    src, at = str(tmp_path / "events"), lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    seen = []
+    query = None
+    for rows in ([(at(1), "a"), (at(1, 5), "a"), (at(2), "b")], [(at(6), "a")], [(at(1, 7), "a"), (at(6, 1), "a")], [(at(12), "z")]):
+        spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("ts timestamp, kind string").parquet(src)
+        counts = sync.windowed_counts(stream, "ts", "30 minutes", "1 hour", "kind")
+        query = counts.writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(seen) == [(at(1), "a", 2), (at(2), "b", 1), (at(6), "a", 2)]
