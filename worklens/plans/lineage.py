@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -40,3 +44,9 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """
     n = parallelism(df.sparkSession)
     return df.repartition(factor * n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """The results of independent ``jobs``, submitted at once so that one's tasks run while another is being planned."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]

@@ -113,7 +113,8 @@ class Table:
         rows = rows.withColumn(BUCKET, bucket_of(n, self.keys)).observe(seen, F.count("*").alias("rows"), *[c.alias(k) for k, c in measures.items()])
         rows.repartition(n, BUCKET).write.partitionBy(BUCKET).parquet(f"{folder}/{self.name}")
         names = self.store._names(f"{folder}/{self.name}")
-        return {int(x.split("=")[1]): f"{folder}/{self.name}/{x}" for x in names if x.startswith(f"{BUCKET}=")}, seen.get
+        places = {int(x.split("=")[1]): f"{folder}/{self.name}/{x}" for x in names if x.startswith(f"{BUCKET}=")}
+        return places, seen.get if places else {"rows": 0, **dict.fromkeys(measures, 0)}  # a plan known to be empty is not measured
 
     def grown(self, rows: int) -> int:
         """The number of buckets for so many rows: that of now, doubled until a bucket is within its bound."""
