@@ -27,7 +27,7 @@ def test_long_chains_in_any_order_are_one_component(spark):
 
 
 def test_affected_pairs_are_those_that_changed(spark):
-    table, full = PairTable(spark, buckets=2), {}
+    table, full = PairTable(spark), {}
     for batch in ([("1", ["a", "b"]), ("2", ["c", "d"]), ("3", ["e", "f"])], [("1", ["a", "c"]), ("2", ["b", "d"])], []):
         table.apply(spark.createDataFrame(batch, "basket_id string, items array<string>"))
         before, full = full, {(r["item_a"], r["item_b"]): (r["n_both"], r["n_a"], r["n_b"]) for r in table.scores().collect()}

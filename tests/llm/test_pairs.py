@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from worklens.llm.cooccurrence import PairTable, ticket_items
@@ -18,19 +19,28 @@ def truth(baskets):
     return {(a, b): (k, one[a], one[b], len(baskets)) for (a, b), k in two.items()}
 
 
-def test_pair_table_follows_changes(spark):
+def counts(df):
+    return {(r["item_a"], r["item_b"]): (r["n_both"], r["n_a"], r["n_b"], r["n_baskets"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("rows_a_bucket,block", [(1_000_000, 512), (3, 2)])
+def test_pair_table_follows_changes(spark, tmp_path, rows_a_bucket, block):
     random.seed(1)
-    table, now = PairTable(spark, buckets=4), {}
-    for _ in range(3):
-        batch = {f"t{random.randint(0, 40)}": random.choice([None, [], random.choices(["a", "b", "c", "d", None], k=5)]) for _ in range(25)}
-        now |= batch
-        table.apply(spark.createDataFrame([(k, v, "x") for k, v in batch.items()], "basket_id string, items array<string>, n string"))
-        got = {(r["item_a"], r["item_b"]): (r["n_both"], r["n_a"], r["n_b"], r["n_baskets"]) for r in table.scores().collect()}
-        assert got == truth(now)
-        part = {(r["item_a"], r["item_b"]) for r in table.scores(affected_only=True).collect()}
-        assert part <= set(got)
-    table.apply(spark.createDataFrame([], "basket_id string, items array<string>"))
-    assert table.total == len(now)
+    now, before = {}, {}
+    for number in range(3):
+        table = PairTable(spark, str(tmp_path / "pairs"), rows_a_bucket, block)  # opened again for every batch
+        batch = {f"t{random.randint(0, 40)}": random.choice([None, [], random.choices(["a", "b", "c", "d", "e", None], k=7)]) for _ in range(25)}
+        gone = random.sample(sorted(now), 5) if now else []
+        now = {k: v for k, v in (now | batch).items() if k not in gone}
+        rows = spark.createDataFrame([(k, v, "x") for k, v in batch.items()], "basket_id string, items array<string>, n string")
+        removed = spark.createDataFrame([(k,) for k in gone], "basket_id string")
+        assert table.apply(rows, removed, number) and not table.apply(rows, removed, number)
+        got = counts(PairTable(spark, str(tmp_path / "pairs"), rows_a_bucket, block).scores())
+        assert got == truth(now) and table.total == len(now)
+        assert counts(table.scores(affected_only=True)) == {p: v for p, v in got.items() if v[:3] != before.get(p, ())[:3]}
+        before = got
+    assert table.apply(spark.createDataFrame([], "basket_id string, items array<string>"))
+    assert table.total == len(now) and counts(table.scores()) == got and not counts(table.scores(affected_only=True))
 
 
 def test_item_spelling(spark):

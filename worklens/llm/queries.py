@@ -16,6 +16,11 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.ticket_pairs(spark, sf_dir).scores().select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets")
 
 
+def p3_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which a count changed when the current rows of tickets followed their oldest ones."""
+    return cooccurrence.ticket_pairs(spark, sf_dir).scores(affected_only=True).select("item_a", "item_b", "n_both", "n_a", "n_b")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": near_tickets.groups,
     "p3_found": cooccurrence.found,
     "p3_scores": p3_scores,
+    "p3_affected": p3_affected,
     "p5_found": splitting.found,
     "p5_pieces": splitting.pieces,
     "p5_rules": p5_rules,
@@ -53,22 +59,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _CURRENT = "cur as (select * from (select *, row_number() over (partition by issue_key order by updated desc) as rn from tickets) where rn = 1)"
 
-_ITEMS = f"""{_CURRENT},
-raw as (
-  select issue_key, 'l:' as p, unnest(labels) as x from cur
-  union all select issue_key, 'c:' as p, unnest(components) as x from cur
+
+
+def _items(rows: str, tail: str = "") -> str:
+    """Common table expressions items, one, two and scored of the rows ``rows`` of tickets, their names ending in ``tail``."""
+    return f"""raw{tail} as (
+  select issue_key, 'l:' as p, unnest(labels) as x from {rows}
+  union all select issue_key, 'c:' as p, unnest(components) as x from {rows}
 ),
-items as (
+items{tail} as (
   select distinct issue_key, p || regexp_replace(lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '-', 'g') as item
-  from raw where regexp_replace(x, '\\s', '', 'g') <> ''
+  from raw{tail} where regexp_replace(x, '\\s', '', 'g') <> ''
 ),
-one as (select item, count(*) as n from items group by 1),
-two as (select a.item as item_a, b.item as item_b, count(*) as k from items a join items b on a.issue_key = b.issue_key and a.item < b.item group by 1, 2),
-scored as (
-  select item_a, item_b, k as n_both, x.n as n_a, y.n as n_b, (select count(*) from cur) as n_baskets
-  from two join one x on x.item = item_a join one y on y.item = item_b
+one{tail} as (select item, count(*) as n from items{tail} group by 1),
+two{tail} as (select a.item as item_a, b.item as item_b, count(*) as k from items{tail} a join items{tail} b on a.issue_key = b.issue_key and a.item < b.item group by 1, 2),
+scored{tail} as (
+  select item_a, item_b, k as n_both, x.n as n_a, y.n as n_b, (select count(*) from {rows}) as n_baskets
+  from two{tail} join one{tail} x on x.item = item_a join one{tail} y on y.item = item_b
 )"""
 
+
+_ITEMS = f"{_CURRENT}, {_items('cur')}"
+_OLDEST = "was as (select * from (select *, row_number() over (partition by issue_key order by updated) as rn from tickets) where rn = 1)"
+
 _PAIRS = f"""{_CURRENT},
 words as (
   select distinct issue_key, lower(unnest(regexp_extract_all(coalesce(summary, '') || ' ' || coalesce(description, ''), '[A-Za-z0-9]{{3,}}'))) as w from cur
@@ -109,4 +122,5 @@ ORACLE: dict[str, str] = {
     "p2_found": f"with {_PAIRS} select key_a, key_b from pairs",
     "p3_found": f"with {_ITEMS} select item_a, item_b from scored where n_both >= 6 and n_both * n_baskets >= 3 * n_a * n_b",
     "p3_scores": f"with {_ITEMS} select * from scored",
+    "p3_affected": f"with {_ITEMS}, {_OLDEST}, {_items('was', '_was')} select item_a, item_b, n_both, n_a, n_b from scored except select item_a, item_b, n_both, n_a, n_b from scored_was",
 }
