@@ -29,9 +29,12 @@ def _query(sql: str | None = None):
     return add
 
 
+def _current_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_rows(load(spark, sf_dir, "pages").select("id", "indexed_at", "parent_id"), ["id"], ["indexed_at"])
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> tree.Hierarchy:
-    pages = load(spark, sf_dir, "pages").select("id", "indexed_at", "parent_id")
-    return tree.hierarchy(latest_rows(pages, ["id"], ["indexed_at"]), "id", "parent_id")
+    return tree.hierarchy(_current_links(spark, sf_dir), "id", "parent_id")
 
 
 _LINKS = """with recursive cur as (
@@ -59,14 +62,22 @@ from cur left join deep on deep.id = cur.id where cur.id not in (select id from
 )
 def p1_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and root of every page that is neither on nor below a loop."""
-    h = _tree(spark, sf_dir)
-    return tree.paths(tree.Hierarchy(h.up, h.loops, None)).select(F.col("id").alias("page_id"), "depth", F.col("root").alias("root_id"))
+    return tree.levels(_current_links(spark, sf_dir), "id", "parent_id").select(F.col("id").alias("page_id"), "depth", F.col("root").alias("root_id"))
 
 
-@_query()
+@_query(
+    _LINKS
+    + """, looped as (select id, min(anc) as least from up where id in (select id from up where id = anc) group by id),
+opened as (select id, parent from link where id not in (select least from looped)),
+way as (
+  select id, 0 as depth, id as root, id as path from cur where id not in (select id from opened)
+  union all select o.id, way.depth + 1, way.root, way.path || ' > ' || o.id from way join opened o on o.parent = way.id
+)
+select id as page_id, depth::int as depth, root, path, id in (select id from looped) as on_loop from way"""
+)
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path from the root, depth, root and loop mark of every page."""
-    return tree.paths(_tree(spark, sf_dir)).withColumnRenamed("id", "page_id")
+    return tree.paths(_tree(spark, sf_dir)).select(F.col("id").alias("page_id"), "depth", "root", F.array_join("path", " > ").alias("path"), "on_loop")
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

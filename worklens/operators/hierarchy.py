@@ -1,127 +1,87 @@
 """Parent-child links of unknown depth to full hierarchies.
 
-Levels are joined frontier by frontier from the roots, ``stride`` levels at a time: every node first gathers its nearest
-``stride`` ancestors by doubling, then each frontier join hands finished paths down to the nodes ``stride`` levels below.
-A branch of depth d takes d / stride joins. Nodes that no frontier reaches stand on or below loops; the loops are found
-among them by jumping along parents, opened at their least member, and walked the same way.
+Frontiers are joined downwards from the roots, each twice as deep as the one before: a node that has not reached a root
+knows its nearest 1, 2, 4, ... ancestors, and takes on what the farthest of them knows. When that one has reached a root,
+the node's path is whole; else the node knows twice as many. A branch of depth d takes log2 d joins, nodes that are done
+leave the loop, and a node whose ancestors repeat stands on or below a loop, which shows where the loop is.
+
+``levels`` does the same with a depth and one ancestor in place of all, for branches too deep to write their paths out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.plans.lineage import cut
+from worklens.plans.lineage import cut, cut_and_measure
 
 
 @dataclass
 class Hierarchy:
-    """``up`` (id, up array): ancestors of every node, nearest first, up to its root or to the member at which its loop was opened.
-    ``loops`` (id, loop): members of loops and the least member, which names the loop."""
+    """``up`` (id, up array): ancestors of every node that a root reaches, nearest first, up to the root.
+    ``tangled`` (id, up array): nodes on or below loops; their ancestors go round the loop at least once. None if there are none."""
 
     up: DataFrame
-    loops: DataFrame
-    below: DataFrame | None  # (id, up): nodes on or below loops
+    tangled: DataFrame | None
 
 
-def clean_links(df: DataFrame, id_col: str, parent_col: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes id, links id parent). Blanks around a parent do not count; a blank or null parent, or one that is no id, is no link.
+def clean_links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, parent), one row for each node. Blanks around a parent do not count; a blank or null parent, or one that is no id, is null.
 
     Rows without an id are no nodes. Of several rows with one id the greatest parent counts; pass current rows.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.regexp_replace(F.col(f"`{parent_col}`").cast("string"), r"(?U)^\s+|\s+$", "").alias("parent")).where("id is not null")
     nodes = cut(rows.groupBy("id").agg(F.max("parent").alias("parent")))
-    links = nodes.where("parent <> ''").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
-    return nodes.select("id"), cut(links)
-
-
-def _walk(nodes: DataFrame, links: DataFrame, stride: int) -> tuple[DataFrame, DataFrame | None]:
-    """(id, up) of every node that a root reaches, and (id) of the others if there are any."""
-    seg = links.select("id", F.array("parent").alias("up"))
-    length = 1
-    while length < stride:
-        top = F.when(F.size("up") == length, F.element_at("up", -1))
-        more = seg.select(F.col("id").alias("top"), F.col("up").alias("more"))
-        seg = cut(seg.withColumn("top", top).join(more, "top", "left").select("id", F.when(F.col("more").isNull(), F.col("up")).otherwise(F.concat("up", "more")).alias("up")))
-        length *= 2
-    roots = nodes.join(links.select("id"), "id", "left_anti").select("id", F.array().cast("array<string>").alias("up"))
-    frontier = cut(roots.union(seg.where(F.size("up") < length).join(roots.select("id"), "id", "left_anti")))
-    waiting = seg.where(F.size("up") == length).withColumn("top", F.element_at("up", -1))
-    if waiting.isEmpty():
-        return frontier, None
-    waiting = cut(waiting)
-    reached = [frontier]
-    while True:
-        above = reached[-1].select(F.col("id").alias("top"), F.col("up").alias("more"))
-        step = cut(waiting.join(above, "top").select("id", F.concat("up", "more").alias("up")))
-        if step.isEmpty():
-            break
-        reached.append(step)
-    done = reached[0]
-    for r in reached[1:]:
-        done = done.union(r)
-    deep = reached[1].select("id") if len(reached) > 1 else None
-    for r in reached[2:]:
-        deep = deep.union(r.select("id"))
-    left = waiting.select("id") if deep is None else waiting.select("id").join(deep, "id", "left_anti")
-    left = cut(left)
-    return done, None if left.isEmpty() else left
-
-
-def _loops(links: DataFrame) -> DataFrame:
-    """(id, loop): which of nodes that all have a parent among themselves stand on loops.
-
-    The images of f, f^2, f^4, ... shrink to the loops: when two in a row have the same size, f permutes the last one.
-    """
-    jump = cut(links.select("id", F.col("parent").alias("to")))
-    image = cut(jump.select(F.col("to").alias("id")).distinct())
-    size = image.count()
-    while True:
-        further = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(further, "to").select("id", F.col("far").alias("to")))
-        image = cut(jump.select(F.col("to").alias("id")).distinct())
-        now = image.count()
-        if now == size:
-            break
-        size = now
-    ring = cut(links.join(image, "id", "left_semi").select("id", F.col("parent").alias("to"), F.col("id").alias("low")))
-    while True:
-        ahead = ring.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("low").alias("next"))
-        ring = cut(ring.join(ahead, "to").select("id", F.col("far").alias("to"), F.least("low", "next").alias("low"), (F.col("next") < F.col("low")).alias("fell")))
-        if ring.where("fell").isEmpty():
-            return ring.select("id", F.col("low").alias("loop"))
-
-
-def hierarchy(df: DataFrame, id_col: str, parent_col: str, stride: int = 16) -> Hierarchy:
-    """Walk the links of ``df`` (current rows, see ``clean_links``). ``stride`` must be a power of two.
+    there = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    return nodes.withColumn("parent", F.when(F.col("parent") != "", F.col("parent"))).join(there, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent"))
+
+
+def _repeats(up: Column) -> Column:
+    return F.size(F.array_distinct(up)) < F.size(up)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+def hierarchy(df: DataFrame, id_col: str, parent_col: str) -> Hierarchy:
+    """Walk the links of ``df`` (current rows, see ``clean_links``).
 
     Defined for empty tables (no rows), several roots, missing parents (their children are roots), a node that is its own
     parent (a loop of one), and very deep branches. Joins are on ids that are unique on one side, so a parent with a third
     of all children is a skew that adaptive execution splits; no group is gathered.
     """
-    nodes, links = clean_links(df, id_col, parent_col)
-    up, left = _walk(nodes, links, stride)
-    if left is None:
-        return Hierarchy(up, nodes.sparkSession.createDataFrame([], "id string, loop string"), None)
-    tangled = cut(links.join(left, "id", "left_semi"))
-    loops = cut(_loops(tangled))
-    opened = tangled.join(loops.where("id = loop").select("id"), "id", "left_anti")
-    below, rest = _walk(left, opened, stride)
-    assert rest is None, "a loop was not opened"
-    return Hierarchy(up, loops, below)
+    nodes = clean_links(df, id_col, parent_col)
+    none = F.array().cast("array<string>")
+    start = nodes.select("id", F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("up"), F.col("parent").isNotNull().alias("open"), F.lit(False).alias("loop"))
+    step, seen = cut_and_measure(start, left=F.count_if("open"))
+    done, looped = [step.where("not open")], 0
+    while seen["left"]:
+        waiting = step.where("open").select("id", "up", F.element_at("up", -1).alias("top"))
+        known = _union([*done, step.where("open")]).select(F.col("id").alias("top"), F.col("up").alias("more"), F.col("open").alias("on"), F.col("loop").alias("round"))
+        met = known.join(waiting, "top").select("id", F.concat("up", "more").alias("up"), "on", "round")
+        loop = F.col("round") | F.col("on") & _repeats(F.col("up"))
+        step, seen = cut_and_measure(met.select("id", "up", (F.col("on") & ~loop).alias("open"), loop.alias("loop")), left=F.count_if("open"), looped=F.count_if("loop"))
+        looped += seen["looped"]
+        done.append(step.where("not open"))
+    whole = _union(done)
+    return Hierarchy(whole.where("not loop").select("id", "up"), whole.where("loop").select("id", "up") if looped else None)
+
+
+def _members(up: Column) -> Column:
+    """The members of the loop at which the ancestors ``up``, which repeat, arrive."""
+    once = F.array_distinct(up)
+    back = F.array_position(once, F.element_at(up, F.size(once) + 1))
+    return F.slice(once, back.cast("int"), F.size(once))
 
 
 def ancestors(h: Hierarchy) -> DataFrame:
     """(id, ancestor): each node and each node above it, once. Members of a loop are above each other, themselves and all nodes below."""
     pairs = h.up.select("id", F.explode("up").alias("ancestor"))
-    if h.below is None:
-        return pairs
-    top = F.when(F.size("up") > 0, F.element_at("up", -1)).otherwise(F.col("id"))
-    outside = h.below.select("id", F.explode("up").alias("ancestor")).join(h.loops.select(F.col("id").alias("ancestor")), "ancestor", "left_anti").select("id", "ancestor")
-    inside = h.below.select("id", top.alias("loop")).join(h.loops.select("loop", F.col("id").alias("ancestor")), "loop").select("id", "ancestor")
-    return pairs.union(outside).union(inside)
+    return pairs if h.tangled is None else pairs.union(h.tangled.select("id", F.explode(F.array_distinct("up"))))
 
 
 def paths(h: Hierarchy) -> DataFrame:
@@ -130,7 +90,30 @@ def paths(h: Hierarchy) -> DataFrame:
     A node on or below a loop has as root the loop's least member, at which the loop is taken as opened.
     """
     out = h.up.select("id", "up", F.lit(False).alias("on_loop"))
-    if h.below is not None:
-        out = out.union(h.below.join(h.loops.select("id", F.lit(True).alias("on_loop")), "id", "left").select("id", "up", F.coalesce("on_loop", F.lit(False))))
+    if h.tangled is not None:
+        least = F.array_min(_members(F.col("up")))
+        opened = h.tangled.select("id", "up", least.alias("least"), F.array_contains("up", F.col("id")).alias("on_loop"))
+        to = F.when(F.col("id") == F.col("least"), 0).otherwise(F.array_position("up", F.col("least"))).cast("int")
+        out = out.union(opened.select("id", F.slice("up", 1, to), "on_loop"))
     path = F.concat(F.reverse("up"), F.array("id"))
     return out.select("id", path.alias("path"), F.size("up").alias("depth"), F.element_at(path, 1).alias("root"), "on_loop")
+
+
+def levels(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, depth, root) of every node that a root reaches; nodes on or below loops have no row. As ``hierarchy``, without paths.
+
+    In each round the nodes of depth 2 ** k to 2 ** (k + 1) - 1 find their root; as every depth up to the greatest occurs, a
+    round in which none does is the last.
+    """
+    nodes = clean_links(df, id_col, parent_col)
+    start = nodes.select("id", F.coalesce("parent", "id").alias("top"), F.col("parent").isNotNull().cast("bigint").alias("depth"), F.col("parent").isNotNull().alias("open"))
+    measures = {"left": F.count_if("open"), "found": F.count_if(~F.col("open"))}
+    step, seen = cut_and_measure(start, **measures)
+    done = [step.where("not open")]
+    while seen["left"] and seen["found"]:
+        waiting = step.where("open").select("id", "top", "depth")
+        known = _union([*done, step.where("open")]).select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("depth").alias("more"), "open")
+        met = known.join(waiting, "top").select("id", F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), "open")
+        step, seen = cut_and_measure(met, **measures)
+        done.append(step.where("not open"))
+    return _union(done).select("id", F.col("depth").cast("int").alias("depth"), F.col("top").alias("root"))

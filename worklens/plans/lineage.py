@@ -7,7 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`").alias(c) for c in kept.columns])
 
 
+def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``cut``, and aggregates of the rows that were written, in one job."""
+    seen = Observation()
+    named = [c.alias(k) for k, c in measures.items()]
+    kept = cut(df.observe(seen, *named))
+    try:
+        return kept, seen.get
+    except Exception:  # a plan that turned out to be empty is not measured
+        return kept, kept.agg(*named).first().asDict()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
