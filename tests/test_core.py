@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens import catalogue
-from worklens.functions import dates, text
+from worklens.functions import dates, markup, text
 from worklens.operators import search, sections, similarity, stats, timeline
 from worklens.sources import buckets, store
 from worklens.streaming import sync
@@ -31,11 +31,18 @@ def test_every_query_runs_and_matches_sql(spark):
 
 
 def test_html_to_markdown():
-    h = text.html_to_markdown
+    h = markup.html_to_markdown
     assert h("<h2>A <i>b</i></h2><p>x &amp; y &copy;</p>") == "## A b\nx & y &copy;"
     assert h("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>") == "| a | b |\n| --- | --- || 1 | 2 |"
     assert h('<a href="u">u</a> <a href="v">t</a><br/><b>w</b><script>x</script>') == "u [t](v)\n**w**"
-    assert h("") == "" and h(None) is None
+    assert h("") == "" and h(None) is None and h("a < b & c") == "a < b & c"
+    assert h("<h1 class='x'>One <code>f()</code> <a href=\"u\">two</a></h1><p>a<br>b</p>") == "# One `f()` two\na\nb"
+    assert h("<ul><li>one</li><li><em>two</em></li></ul>") == "- one\n- *two*"
+    assert h("<b>open <i>shut</i>") == "open *shut*" and h('<b class="c">x</b>') == "x" and h("<strong>x</strong>") == "**x**"
+    assert h("<pre><b>x</b>\n y</pre>") == "```\nx\n y\n```"
+    assert h("<tr><TD>no</TD><td>a <b>b</b></td></tr>") == "| a b |" and h("<tr><td> </td></tr>") == "|  |"
+    assert h('<ac:structured-macro ac:name="toc"><p>gone</p></ac:structured-macro>kept<style>p {}</style>') == "kept"
+    assert h("&lt;b&gt; &nbsp;&#39;&#x27;&eacute;&#233;") == "<b>  ''&eacute;&#233;"
 
 
 def test_business_days(spark):

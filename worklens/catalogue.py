@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklens.functions import dates, text
+from worklens.functions import dates, markup, text
 from worklens.operators import hierarchy as tree
 from worklens.operators import search, sections, similarity, stats, timeline
 from worklens.operators.history import versions
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
@@ -29,6 +31,9 @@ def _query(sql: str | None = None):
     return add
 
 
+_query = query
+
+
 def _current_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_rows(load(spark, sf_dir, "pages").select("id", "indexed_at", "parent_id"), ["id"], ["indexed_at"])
 
@@ -158,10 +163,10 @@ union all select id, epoch_us(indexed_at), title from o where rn = 1 and id not
 )
 def s05_upsert_pages(spark, d):
     pages = load(spark, d, "pages").select("id", "indexed_at", "title")
-    mid = pages.agg(F.expr("percentile_disc(0.5) within group (order by unix_micros(indexed_at))")).first()[0]
-    newer = F.unix_micros("indexed_at") > (mid or 0)
-    table = latest_rows(pages.where(~newer), ["id"], ["indexed_at"])
-    return store.upsert(table, pages.where(newer), ["id"]).select("id", F.unix_micros("indexed_at").alias("indexed_us"), "title")
+    mid = pages.agg(F.expr("percentile_disc(0.5) within group (order by unix_micros(indexed_at))").alias("mid"))
+    marked = pages.join(F.broadcast(mid)).withColumn("newer", F.unix_micros("indexed_at") > F.col("mid"))  # one row
+    table = latest_rows(marked.where("not newer").select(*pages.columns), ["id"], ["indexed_at"])
+    return store.upsert(table, marked.where("newer").select(*pages.columns), ["id"]).select("id", F.unix_micros("indexed_at").alias("indexed_us"), "title")
 
 
 @_query(_PAGES + ", meet as (select id, content from cur where page_type = 'meeting') select page_id, chunk_index, content from (select distinct page_id, chunk_index, content from chunks) where page_id not in (select id from meet) union all select id, 0, content from meet")
@@ -196,8 +201,8 @@ def f02_stale_pages(spark, d):
 
 @_query(_PAGES + "select id, title from cur where indexed_at > (select quantile_disc(indexed_at, 0.9) from pages)")
 def f03_changed_since(spark, d):
-    since = load(spark, d, "pages").agg(F.expr("percentile_disc(0.9) within group (order by unix_micros(indexed_at))")).first()[0]
-    return pages_now(spark, d, "title").where(F.unix_micros("indexed_at") > F.lit(since or 0)).select("id", "title")
+    since = load(spark, d, "pages").agg(F.expr("percentile_disc(0.9) within group (order by unix_micros(indexed_at))").alias("since"))
+    return pages_now(spark, d, "title").join(F.broadcast(since)).where(F.unix_micros("indexed_at") > F.col("since")).select("id", "title")  # one row
 
 
 @_query(
@@ -220,11 +225,7 @@ def f14_character_budget(spark, d):
 
 @_query(_PAGES + "select case when grouping(page_type) = 0 then 'type' when grouping(space_key) = 0 then 'space' when grouping(source) = 0 then 'source' else 'all' end as kind, coalesce(page_type, space_key, source, '') as name, count(*) as n from cur group by grouping sets ((page_type), (space_key), (source), ())")
 def a01_statistics(spark, d):
-    pages_now(spark, d, "page_type", "space_key", "source").createOrReplaceTempView("__pages_now")
-    return spark.sql(
-        "select case when grouping(page_type) = 0 then 'type' when grouping(space_key) = 0 then 'space' when grouping(source) = 0 then 'source' else 'all' end as kind, "
-        "coalesce(page_type, space_key, source, '') as name, count(*) as n from __pages_now group by grouping sets ((page_type), (space_key), (source), ())"
-    )
+    return stats.counts_by(pages_now(spark, d, "page_type", "space_key", "source"), {"type": "page_type", "space": "space_key", "source": "source"})
 
 
 # Sprints.
@@ -320,8 +321,7 @@ def a23_top_components(spark, d):
 @_query(_TICKETS + "select lower(trim(issue_type)) as issue_type, lower(trim(priority)) as priority, count(*) as n, floor(100.0 * count(*) / sum(count(*)) over () + 0.5)::int as percent from cur group by 1, 2")
 def a28_type_and_priority(spark, d):
     n = tickets_now(spark, d, "issue_type", "priority").groupBy(F.lower(F.trim("issue_type")).alias("issue_type"), F.lower(F.trim("priority")).alias("priority")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    return n.withColumn("percent", stats.percent(F.col("n"), F.lit(total)))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).withColumn("percent", stats.percent(F.col("n"), F.col("total"))).drop("total")
 
 
 @_query(
@@ -386,8 +386,7 @@ def w01_time_in_status_from_creation(spark, d):
 select sequence, count(*) as n, count(*) * 100.0 / sum(count(*)) over () >= 1 as common from q where steps >= 1 group by 1""")
 def w02_status_sequences(spark, d):
     q = timeline.sequences(_status(spark, d), "issue_key", "at", "id", "from_value", "to_value").groupBy("sequence").agg(F.count("*").alias("n"))
-    total = q.agg(F.sum("n")).first()[0] or 0
-    return q.withColumn("common", F.col("n") * 100.0 / F.lit(max(total, 1)) >= 1)
+    return q.join(F.broadcast(q.agg(F.sum("n").alias("total")))).select("sequence", "n", (F.col("n") * 100.0 / F.col("total") >= 1).alias("common"))
 
 
 @_query(_STATUS + """, m as (select issue_key, t in ('done', 'closed', 'resolved') as term, moment, id from st),
@@ -554,7 +553,7 @@ def x07_pages_of_chunk_hits_for_rows(spark, d):
 
 @_query()
 def t04_markdown(spark, d):
-    return pages_now(spark, d, "content").select("id", text.markdown_of("content").alias("markdown"))
+    return pages_now(spark, d, "content").select("id", markup.markdown_of("content").alias("markdown"))
 
 
 @_query(_PAGES + r"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\|?[ \t]*Created by[^|\n]*\d{4}[ \t]*\|?', '', 'gi'),

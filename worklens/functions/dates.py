@@ -21,3 +21,16 @@ def business_days(start: Column, end: Column) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3_600_000_000.0)
+
+
+def days_left(end: Column, now: Column) -> Column:
+    """Whole days until ``end``, begun ones counted, 0 if it is past; null for a null."""
+    days = F.ceil((F.unix_micros(end) - F.unix_micros(now)) / F.lit(86_400_000_000.0))
+    return F.when(end.isNotNull(), F.greatest(days, F.lit(0))).cast("bigint")
+
+
+def elapsed_percent(start: Column, end: Column, now: Column) -> Column:
+    """The share of the time from ``start`` to ``end`` that is over, from 0 to 100; null for a null or an empty time."""
+    whole = F.unix_micros(end) - F.unix_micros(start)
+    part = F.floor(F.lit(100.0) * F.try_divide(F.unix_micros(now) - F.unix_micros(start), whole) + 0.5)
+    return F.when(whole != 0, F.greatest(F.lit(0), F.least(F.lit(100), part))).cast("int")

@@ -51,3 +51,18 @@ def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         F.round(F.when(one, 0.0).otherwise(F.regr_slope(y, x)), 6).alias("slope"),
         F.round(F.when(one, F.coalesce(F.max(F.col(y).cast("double")), F.lit(0.0))).otherwise(F.regr_intercept(y, x)), 6).alias("intercept"),
     )
+
+
+def counts_by(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, name, n): rows by each of the columns of ``kinds`` {kind: column}, and of all, in one pass over the table. A null counts as an empty name."""
+    sets = [[F.col(c)] for c in kinds.values()] + [[]]
+    kind = F.lit("all")
+    for k, c in kinds.items():
+        kind = F.when(F.grouping(c) == 0, k).otherwise(kind)
+    name = F.coalesce(*[F.col(c) for c in kinds.values()], F.lit(""))
+    return df.groupingSets(sets, *[F.col(c) for c in kinds.values()]).agg(kind.alias("kind"), name.alias("name"), F.count("*").alias("n")).select("kind", "name", "n")
+
+
+def two_places(c: Column) -> Column:
+    """Rounded to two decimals, halves up."""
+    return F.floor(c * 100 + 0.5) / 100
