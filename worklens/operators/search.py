@@ -1,15 +1,17 @@
-"""Ranked full-text search over derived postings."""
+"""Ranked full-text search over postings, derived or kept."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklens.plans.lineage import cut
+from worklens.sources.buckets import Store, Table
 
 K1, B = 1.2, 0.75
+POSTINGS = "key string, word string, tf bigint, pos array<int>, len bigint"
 
 
 def query_words(query: str) -> list[str]:
@@ -18,75 +20,193 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[^0-9a-z]+", bare.lower()) if w))
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[*"()^+-]', " "), r"(?iU)\b(?:NEAR|AND|OR|NOT)\b", " ")
+
+
 def query_words_of(c: Column) -> Column:
     """``query_words`` of a column."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'[*"()^+-]', " "), r"(?iU)\b(?:NEAR|AND|OR|NOT)\b", " ")
-    return F.array_distinct(words_of(bare))
+    return F.array_distinct(words_of(_bare(c)))
+
+
+def query_phrases_of(c: Column) -> Column:
+    """The terms of a search text: for each run without blanks the array of its words, of which more than one are a phrase."""
+    terms = F.transform(F.split(_bare(c), r"(?U)\s+"), words_of)
+    return F.array_distinct(F.filter(terms, lambda t: F.size(t) > 0))
 
 
 def words_of(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+"), lambda w: w != "")
 
 
-def ranked(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str] | DataFrame, limit: int | None = None) -> DataFrame:
-    """(query, key, score, rank): rows in which every word of the query stands in some field, best first, ties by key.
+def postings(docs: DataFrame, key: str, fields: list[str], kind: str = "string", only: DataFrame | None = None) -> DataFrame:
+    """(key, word, tf, pos, len): each word of each row, how often and where it stands, and the row's number of words.
 
-    Score: BM25 with k1 1.2, b 0.75 and idf ln(1 + (n - df + 0.5) / (df + 0.5)), over all fields together. All queries are
-    answered in one pass: only postings of their words are made, so what is shuffled follows the hits. A query without
-    words has no result. ``limit`` is the top-k of each query. ``queries`` may be a table (query, text) instead: then a
-    query's hits are looked for among the rows with its rarest word, and nothing of the queries is collected.
+    Words are numbered through all fields, with a gap between two, so that no phrase spans them. Every row has one more
+    row with an empty word, so that rows without words count too. Null fields count as empty. ``only``: words (word) beside
+    which none are wanted; they are chosen before anything is exchanged.
     """
-    if isinstance(queries, DataFrame):
-        return _ranked_each(docs, key, fields, queries, limit)
+    gap = F.array(F.lit(""))
+    text = words_of(F.col(fields[0]))
+    for f in fields[1:]:
+        text = F.concat(text, gap, words_of(F.col(f)))
+    each = docs.select(F.col(key).cast(kind).alias("key"), text.alias("w")).select("key", F.size(F.filter("w", lambda x: x != "")).cast("bigint").alias("len"), F.posexplode(F.concat("w", gap)).alias("p", "word"))
+    if only is not None:
+        wanted = only.select("word").distinct().withColumn("asked", F.lit(True))
+        each = each.join(wanted, "word", "left").where("asked or word = ''").drop("asked")
+    out = each.groupBy("key", "word").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("p")).alias("pos"), F.first("len").alias("len"))
+    empty = F.col("word") == ""
+    return out.select("key", "word", F.when(empty, 0).otherwise(F.col("tf")).alias("tf"), F.when(empty, F.array().cast("array<int>")).otherwise(F.col("pos")).alias("pos"), "len")
+
+
+class Index:
+    """Postings that are kept in hash buckets by row under a manifest: ``update`` rewrites the buckets of the rows that have
+    changed or are gone, ``rebuild`` all of them; ``postings`` is what ``search`` takes."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str, fields: list[str], rows_a_bucket: int = 2_000_000) -> None:
+        self.spark, self.key, self.fields = spark, key, fields
+        self.store = Store(spark, root)
+        self.table = Table(self.store, "postings", POSTINGS, ["key"], rows_a_bucket)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.read()
+
+    def rebuild(self, docs: DataFrame) -> None:
+        self._take(docs, None, True)
+
+    def update(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
+        """``changed``: rows as they are now, new ones among them; ``removed``: a column of keys."""
+        self._take(changed, removed, False)
+
+    def _take(self, docs: DataFrame, removed: DataFrame | None, whole: bool) -> None:
+        folder = self.store.folder()
+        fresh = Table(self.store, "fresh", POSTINGS, ["key"])
+        rows = postings(docs, self.key, self.fields)
+        if removed is not None:
+            gone = removed.select(F.col(removed.columns[0]).cast("string").alias("key")).distinct()
+            rows = rows.join(gone, "key", "left_anti").unionByName(gone.select("key", F.lit(None).cast("string").alias("word")), allowMissingColumns=True)
+        at, seen = fresh.stage(rows, folder, self.table.n)
+        kept = 0 if whole else self.store.state.get("rows", 0)
+        n = self.table.grown(kept + seen["rows"])
+        new = self.spark.read.schema(POSTINGS).parquet(*at.values()) if at else self.spark.createDataFrame([], POSTINGS)
+        touched = list(self.table.places) if whole or n != self.table.n else list(at)
+        old = self.table.read([] if whole else touched)
+        merged = old.join(new.select("key").distinct(), "key", "left_anti").unionByName(new.where("word is not null"))
+        places, written = self.table.stage(merged, folder, n)
+        count = written["rows"] + (0 if whole or n != self.table.n else kept - old.count())
+        self.store.commit({**self.store.state, "rows": count}, {**self.store.places, "postings": self.table.merged(places, touched)}, {**self.store.sizes, "postings": n})
+
+
+def search(index: DataFrame, queries: DataFrame, limit: int | None = None, phrases: bool = True) -> DataFrame:
+    """(query, key, score, rank): rows of an ``index`` (postings) in which every word of the query stands, best first, ties by key.
+
+    ``queries`` is a table (query, text) with one row a query, or (query, text, most) with a limit for each. With
+    ``phrases`` the words of one run without blanks (``a.b``, ``a_b``) must follow one another. Score: BM25 with k1 1.2,
+    b 0.75 and idf ln(1 + (n - df + 0.5) / (df + 0.5)). A query's hits are looked for among the rows with its rarest word;
+    nothing of queries or postings is collected. A query without words has no result.
+    """
+    return _answer(index, cut(_asked(queries, limit, phrases)), phrases)
+
+
+def _asked(queries: DataFrame, limit: int | None, phrases: bool) -> DataFrame:
+    """(query, most, term, size, place, word): the words of each query."""
+    terms = query_phrases_of(F.col("text")) if phrases else F.transform(query_words_of(F.col("text")), lambda w: F.array(w))
+    most = F.col("most") if "most" in queries.columns else F.lit(limit).cast("int")
+    each = queries.select("query", most.alias("most"), F.posexplode(terms).alias("term", "words"))
+    return each.select("query", "most", "term", F.size("words").alias("size"), F.posexplode("words").alias("place", "word"))
+
+
+def _answer(index: DataFrame, asked: DataFrame, phrases: bool) -> DataFrame:
+    words = asked.groupBy("query", "most").agg(F.count_distinct("word").alias("need")).join(asked.select("query", "word").distinct(), "query")
+    held = cut(index.join(asked.select("word").distinct().withColumn("asked", F.lit(True)), "word", "left").where("asked or word = ''").drop("asked"))
+    all_ = held.where("word = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    tf = held.where("word <> ''")
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    wanted = words.join(df, "word", "left").select("query", "most", "need", "word", F.coalesce("df", F.lit(0)).alias("df"))
+    rarest = wanted.groupBy("query").agg(F.min(F.struct("df", "word")).alias("r")).where("r.df > 0").select("query", F.col("r.word").alias("word"))
+    near = rarest.join(tf.select("key", "word"), "word").select("query", "key")
+    met = near.join(wanted, "query").join(tf, ["key", "word"]).join(F.broadcast(all_))  # one row
+    hits = met.groupBy("query", "key", "most", "need").agg(F.count("*").alias("have"), F.round(F.sum(_part()), 6).alias("score")).where("have = need")
+    if phrases:
+        parts = asked.where("size > 1").join(hits.select("query", "key"), "query").join(tf.select("key", "word", "pos"), ["key", "word"])
+        starts = parts.groupBy("query", "key", "term").agg(F.collect_list(F.struct("place", F.transform("pos", lambda p: p - F.col("place")).alias("at"))).alias("x"))
+        both = F.aggregate(F.slice("x", 2, F.size("x")), F.col("x")[0]["at"], lambda a, y: F.array_intersect(a, y["at"]))
+        apart = starts.where(F.size(both) == 0).select("query", "key").distinct()
+        hits = hits.join(apart, ["query", "key"], "left_anti")
+    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key")))
+    return out.where(F.col("most").isNull() | (F.col("rank") <= F.col("most"))).select("query", "key", "score", "rank")
+
+
+def ranked(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str] | DataFrame, limit: int | None = None, phrases: bool = False) -> DataFrame:
+    """(query, key, score, rank): ``search`` over postings derived from ``docs`` for these queries alone, {query: text} or a table (query, text)."""
+    if isinstance(queries, dict):
+        return _ranked_few(docs, key, fields, queries, limit)
+    asked = cut(_asked(queries, limit, phrases))
+    return _answer(postings(docs, key, fields, docs.schema[key].dataType.simpleString(), asked), asked, phrases).withColumnRenamed("key", key)
+
+
+def _ranked_few(docs: DataFrame, key: str, fields: list[str], queries: dict[str, str], limit: int | None) -> DataFrame:
+    """The same for queries that are parameters, without phrases: their words are part of the plan, and only postings of them are made."""
     asked = [(q, w) for q, text in queries.items() for w in query_words(text)]
     spark = docs.sparkSession
     if not asked:
         return spark.createDataFrame([], f"query string, {key} {docs.schema[key].dataType.simpleString()}, score double, rank int")
     need = {q: len(query_words(t)) for q, t in queries.items()}
     terms = F.array(*[F.lit(w) for w in sorted({w for _, w in asked})])
-    text = F.concat(*[words_of(F.col(f)) for f in fields])
-    sized = docs.select(F.col(key), text.alias("w")).select(key, F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(terms, x)).alias("hits"))
-    n, avg = sized.agg(F.count("*"), F.avg("len")).first()
+    sized = docs.select(F.col(key), F.concat(*[words_of(F.col(f)) for f in fields]).alias("w")).select(key, F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(terms, x)).alias("hits"))
+    all_ = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     tf = sized.where(F.size("hits") > 0).select(key, "len", F.explode("hits").alias("word")).groupBy(key, "len", "word").agg(F.count("*").alias("tf"))
     wanted = spark.createDataFrame([(q, w, need[q]) for q, w in asked], "query string, word string, need int")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    part = _part(n, avg)
-    hits = tf.join(df, "word").join(F.broadcast(wanted), "word").groupBy("query", key).agg(F.count("*").alias("have"), F.max("need").alias("need"), F.round(F.sum(part), 6).alias("score"))
-    return _best(hits, key, limit)
+    few = df.join(F.broadcast(wanted), "word").join(F.broadcast(all_))  # a row for each word of the parameters; one row
+    hits = tf.join(F.broadcast(few), "word").groupBy("query", key).agg(F.count("*").alias("have"), F.max("need").alias("need"), F.round(F.sum(_part()), 6).alias("score"))
+    out = hits.where("have = need").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key)))
+    return (out.where(F.col("rank") <= limit) if limit else out).select("query", key, "score", "rank")
 
 
-def _part(n: int, avg: float | None) -> Column:
-    return F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
+def _part() -> Column:
+    """A word's share of the score, of columns n, avg, df, tf and len."""
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
 
 
-def _best(hits: DataFrame, key: str, limit: int | None) -> DataFrame:
-    out = hits.where("have = need").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key)))
-    return (out.where(F.col("rank") <= limit) if limit else out).select("query", key, "score", "rank")
+def two_tier(chunk_hits: DataFrame, page_hits: DataFrame) -> DataFrame:
+    """(query, tier, key, rank): of each query the hits among chunks, or those among pages if there are none."""
+    chunks = chunk_hits.select("query", F.lit("chunk").alias("tier"), F.col("key").cast("string").alias("key"), "rank")
+    return chunks.unionByName(page_hits.join(chunks.select("query").distinct(), "query", "left_anti").select("query", F.lit("page").alias("tier"), F.col("key").cast("string").alias("key"), "rank"))
 
 
-def _ranked_each(docs: DataFrame, key: str, fields: list[str], queries: DataFrame, limit: int | None) -> DataFrame:
-    asked = queries.select("query", query_words_of(F.col("text")).alias("w")).select("query", F.size("w").alias("need"), F.explode("w").alias("word"))
-    sized = docs.select(F.col(key), F.concat(*[words_of(F.col(f)) for f in fields]).alias("w")).select(key, F.size("w").alias("len"), "w")
-    n, avg = sized.agg(F.count("*"), F.avg("len")).first()
-    tf = sized.select(key, "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-    tf = cut(tf.groupBy(key, "len", "word").agg(F.count("*").alias("tf")))
-    wanted = cut(asked.join(tf.groupBy("word").agg(F.count("*").alias("df")), "word", "left"))
-    rarest = wanted.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).where("r.df > 0").select("query", F.col("r.word").alias("word"))
-    near = rarest.join(tf.select(key, "word"), "word").select("query", key)
-    hits = near.join(wanted, "query").join(tf, [key, "word"])
-    hits = hits.groupBy("query", key).agg(F.count("*").alias("have"), F.max("need").alias("need"), F.round(F.sum(_part(n, avg)), 6).alias("score"))
-    return _best(hits, key, limit)
+def context(index: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, place, key, page_title, location): passages for each of ``texts`` (query, text): the five best chunks for each keyword,
+    the three best for each two keywords that follow one another, the ten best for the first twelve words; of those with one page title
+    and location only the first, in that order.
+
+    ``chunks`` is (key, page_title, breadcrumb, heading).
+    """
+    from worklens.functions.text import keywords
+
+    k = texts.select("query", "text", keywords(F.col("text")).alias("k")).select("query", "text", "k", F.size("k").alias("n"))
+    one = k.select("query", F.posexplode("k").alias("no", "text"), F.lit(5).alias("most"))
+    pairs = F.when(F.col("n") > 1, F.expr("transform(sequence(1, n - 1), i -> concat_ws(' ', k[i - 1], k[i]))")).otherwise(F.array().cast("array<string>"))
+    two = k.select("query", "n", F.posexplode(pairs).alias("no", "text")).select("query", (F.col("n") + F.col("no")).alias("no"), "text", F.lit(3).alias("most"))
+    lead = k.select("query", (F.col("n") * 2).alias("no"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"), F.lit(10).alias("most"))
+    asked = cut(one.unionByName(two).unionByName(lead).withColumn("sub", F.struct("query", "no")))
+    hits = search(index, asked.select(F.col("sub").alias("query"), "text", "most")).select("query.*", "key", "rank")
+    where = F.coalesce(F.nullif("breadcrumb", F.lit("")), "heading", F.lit(""))
+    found = hits.join(chunks.select(F.col("key").cast("string").alias("key"), "page_title", where.alias("location")), "key")
+    first = found.groupBy("query", "page_title", "location").agg(F.min(F.struct("no", "rank", "key")).alias("f"))
+    order = Window.partitionBy("query").orderBy("f.no", "f.rank", "f.key")
+    return first.select("query", F.row_number().over(order).alias("place"), F.col("f.key").alias("key"), "page_title", "location")
 
 
 def snippet(c: Column, words: list[str] | Column, width: int = 48) -> Column:
-    """About ``width`` words from the first hit on, with the hits between ``**``."""
-    if isinstance(words, Column):  # plain words, as of query_words_of
-        any_word = F.array_join(words, "|")
-        before, after = F.lit(r"(?is)((?:\S+\s+){0,5}\S*\b(?:"), F.lit(rf")\b\S*(?:\s+\S+){{0,{width - 6}}})")
-        near = F.call_function("regexp_extract", c, F.concat(before, any_word, after), F.lit(1))
-        return F.when(F.size(words) == 0, "").otherwise(F.regexp_replace(near, F.concat(F.lit(r"(?i)\b("), any_word, F.lit(r")\b")), F.lit("**$1**")))
-    if not words:
-        return F.lit("")
-    any_word = "|".join(re.escape(w) for w in words)
-    near = F.regexp_extract(c, rf"(?is)((?:\S+\s+){{0,5}}\S*\b(?:{any_word})\b\S*(?:\s+\S+){{0,{width - 6}}})", 1)
-    return F.regexp_replace(near, rf"(?i)\b({any_word})\b", "**$1**")
+    """About ``width`` words from five before the first hit on, with the hits between ``**`` and an ellipsis where text is left out."""
+    if isinstance(words, list):
+        words = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    any_word = F.array_join(words, "|")  # plain words, as of query_words_of
+    before, after = F.lit(r"(?is)((?:\S+\s+){0,5}\S*\b(?:"), F.lit(rf")\b\S*(?:\s+\S+){{0,{width - 6}}})")
+    near = F.call_function("regexp_extract", c, F.concat(before, any_word, after), F.lit(1))
+    marked = F.regexp_replace(near, F.concat(F.lit(r"(?i)\b("), any_word, F.lit(r")\b")), F.lit("**$1**"))
+    at = F.locate("\u0000", F.replace(c, near, F.lit("\u0000")))
+    more = F.length(F.rtrim(c)) > at - 1 + F.length(near)
+    return F.when((F.size(words) == 0) | (near == ""), "").otherwise(F.concat(F.when(at > 1, "…").otherwise(""), marked, F.when(more, "…").otherwise("")))

@@ -56,3 +56,17 @@ def _similar_to_each(sets: DataFrame, key: str, tokens: str, queries: DataFrame,
     close = F.least(F.size("t"), F.size("tq")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("tq"))
     pairs = met.where(close).select("query", F.col("k").alias(key), jaccard(F.col("t"), F.col("tq")).alias("similarity")).distinct()
     return pairs.where(F.col("similarity") >= threshold)
+
+
+def best_by_keywords(sets: DataFrame, key: str, tokens: str, queries: DataFrame, threshold: float, keywords: int, most: int) -> DataFrame:
+    """(query, key, similarity, rank): for each of ``queries`` (query, tokens) the ``most`` rows of at least ``threshold`` similarity among
+    those that hold its ``keywords`` longest tokens. The longest one is the join key, so what is compared follows the rows that hold it."""
+    from pyspark.sql import Window
+
+    from worklens.functions.text import longest
+
+    asked = queries.select("query", F.array_distinct("tokens").alias("q")).withColumn("k", longest(F.col("q"), keywords)).where(F.size("k") > 0).withColumn("w", F.col("k")[0])
+    rows = sets.select(F.col(key), F.array_distinct(tokens).alias("t"))
+    met = rows.withColumn("w", F.explode("t")).join(asked, "w").where(F.size(F.array_except("k", "t")) == 0)
+    out = met.select("query", key, jaccard(F.col("t"), F.col("q")).alias("s")).where(F.col("s") >= threshold).select("query", key, F.round("s", 6).alias("similarity"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= most)

@@ -66,3 +66,11 @@ def counts_by(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def two_places(c: Column) -> Column:
     """Rounded to two decimals, halves up."""
     return F.floor(c * 100 + 0.5) / 100
+
+
+def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, with their place. First within hash parts of each group, so that no large group is one task."""
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    low = Window.partitionBy(*keys, "__part").orderBy(*order)
+    few = df.withColumn("__part", part).withColumn("__place", F.row_number().over(low)).where(F.col("__place") <= n).drop("__part", "__place")
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)

@@ -33,3 +33,25 @@ def needs_update(remote: DataFrame, stored: DataFrame, key: str, stamp: str) ->
     """Rows of ``remote`` that are not stored, have no stamp, or another stamp than the stored row."""
     s = stored.select(F.col(key).alias("__k"), F.col(stamp).alias("__s"), F.lit(True).alias("__there"))
     return remote.join(s, F.col(key) == F.col("__k"), "left").where(F.col("__there").isNull() | F.col(stamp).isNull() | ~F.col(stamp).eqNullSafe(F.col("__s"))).select(*remote.columns)
+
+
+def lookup(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``table`` whose ``keys`` stand in ``wanted``. A null key is not found."""
+    return table.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def where_given(table: DataFrame, **values: str | int | None) -> DataFrame:
+    """The rows that have all given values; a value that is None lets all pass. The filters reach the scan."""
+    for c, v in values.items():
+        table = table if v is None else table.where(F.col(c) == v)
+    return table
+
+
+def settings(given: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, value): the value set last for each key; ties by the greater value. A null key is none."""
+    last = given.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(at, value))[value].alias(value))
+    return last.select(F.col(key).alias("key"), F.col(value).alias("value"))
+
+
+def append(log: DataFrame, rows: DataFrame) -> DataFrame:
+    return log.unionByName(rows.select(*log.columns))
