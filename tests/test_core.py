@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from worklens import catalogue
+from worklens import catalogue, reports, retrieval  # noqa: F401
 from worklens.functions import dates, markup, text
 from worklens.operators import search, sections, similarity, stats, timeline
 from worklens.sources import buckets, store

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from worklens.functions import dates, markup, text
 from worklens.operators import hierarchy as tree
 from worklens.operators import search, sections, similarity, stats, timeline
-from worklens.operators.history import versions
+from worklens.operators.history import snapshot_history, versions
 from worklens.streaming import sync
 from worklens.sources import store
 from worklens.sources.tables import blank_to_null, latest_rows, load
@@ -128,6 +128,18 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir).select("issue_key", "field", "value", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"))
 
 
+@_query(
+    """with s as (select distinct id, indexed_at, title, parent_id from pages),
+m as (select *, row_number() over w = 1 or title is distinct from lag(title) over w or parent_id is distinct from lag(parent_id) over w as begins from s window w as (partition by id order by indexed_at))
+select id, title, parent_id, epoch_us(indexed_at) as valid_from_us, epoch_us(lead(indexed_at) over (partition by id order by indexed_at)) as valid_to_us from m where begins"""
+)
+def p4_page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of title and parent of every page, from all its crawls as snapshots."""
+    pages = load(spark, sf_dir, "pages").select("id", "indexed_at", "title", "parent_id")
+    out = snapshot_history(pages, ["id"], "indexed_at", ["title", "parent_id"])
+    return out.select("id", "title", "parent_id", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"))
+
+
 # Operators over pages, chunks and other kept tables.
 
 _PAGES = "with cur as (select * from (select *, row_number() over (partition by id order by indexed_at desc) as rn from pages) where rn = 1)\n"
@@ -591,7 +603,7 @@ def t13_criteria_format(spark, d):
 
 
 @_query("select user_id, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
-def g02_event_counts(spark, d):
+def a02_event_counts(spark, d):
     return load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.catalogue import _PAGES, _TICKETS, _TOKENS, pages_now, query, tickets_now
-from worklens.functions import text
+from worklens.functions import doctree, text
 from worklens.operators import search, similarity, stats
 from worklens.reports import _ENTRIES, _POINTS, entries, low
 from worklens.sources import ingest, store
@@ -334,3 +334,56 @@ def h09_crawled(spark, d):
     pages = pages_now(spark, d, "title", "space_key", "content", "labels", "updated_at")
     known = pages.where("id % 2 = 0").select("id", "updated_at")
     return ingest.crawled(pages, known)[1]
+
+
+@query()
+def t10_document_trees(spark, d):
+    """The contents of pages as trees of nodes, and the text of those (T11)."""
+    trees = pages_now(spark, d, "content").select("id", doctree.tree_json("content").alias("tree"))
+    return trees.select("id", "tree", doctree.tree_text("tree").alias("text"))
+
+
+@query(
+    _TICKETS
+    + r"""select issue_key, len(regexp_extract_all(x, '(?m)^#{1,3}[ \t]+[^\r\n]+')) as headings, len(regexp_extract_all(x, '(?m)^\*\*[^*\n]+?:?\*\*[ \t]*$')) as bold, len(regexp_extract_all(x, '- \[[ xX]\]')) as boxes,
+  len(regexp_extract_all(x, '(?i)\b(?:given|when|then)\b')) as steps, len(regexp_extract_all(x, '(?m)^[ \t]*[-*][ \t]+')) as bullets, regexp_matches(coalesce(summary, ''), '^\[[^\]]+\]') as tagged,
+  regexp_matches(x, '(?i)acceptance criteria') as criteria, regexp_matches(x, '(?i)\b(?:because|so that|in order to|context|background)\b') as reasons from (select *, coalesce(description, '') as x from cur)"""
+)
+def t12_features(spark, d):
+    """What is found in the description of each ticket."""
+    x = F.coalesce("description", F.lit(""))
+    return tickets_now(spark, d, "summary", "description").select(
+        "issue_key",
+        text.count_of(x, r"(?m)^#{1,3}[ \t]+[^\r\n]+").alias("headings"),
+        text.count_of(x, r"(?m)^\*\*[^*\n]+?:?\*\*[ \t]*$").alias("bold"),
+        text.count_of(x, r"- \[[ xX]\]").alias("boxes"),
+        text.count_of(x, r"(?i)\b(?:given|when|then)\b").alias("steps"),
+        text.count_of(x, r"(?m)^[ \t]*[-*][ \t]+").alias("bullets"),
+        F.coalesce("summary", F.lit("")).rlike(r"^\[[^\]]+\]").alias("tagged"),
+        x.rlike("(?i)acceptance criteria").alias("criteria"),
+        x.rlike(r"(?i)\b(?:because|so that|in order to|context|background)\b").alias("reasons"),
+    )
+
+
+@query(
+    _TICKETS
+    + ", b as (select issue_key, summary from cur where lower(trim(status)) = 'to do' order by created, issue_key limit 50), s as (select issue_key, "
+    + _TOKENS.format(c="summary")
+    + """ as t from b)
+select x.issue_key, coalesce(list_sort(list(y.issue_key) filter (y.issue_key is not null)), []) as duplicates from s x left join s y on x.issue_key <> y.issue_key and len(list_intersect(x.t, y.t)) * 1.0 / greatest(1, len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) > 0.4 group by 1"""
+)
+def h01_backlog(spark, d):
+    """The first 50 tickets to be done, each with those of them that are similar."""
+    first = tickets_now(spark, d, "summary", "status", "created").where(low("status") == "to do").orderBy("created", "issue_key").limit(50)
+    pairs = similarity.similar_pairs(first.select("issue_key", text.tokens(F.col("summary")).alias("t")), "issue_key", "t", 0.4, strict=True)
+    both = pairs.select(F.col("key_a").alias("issue_key"), F.col("key_b").alias("other")).union(pairs.select("key_b", "key_a"))
+    near = both.groupBy("issue_key").agg(F.array_sort(F.collect_list("other")).alias("duplicates"))
+    return first.select("issue_key").join(near, "issue_key", "left").select("issue_key", F.coalesce("duplicates", F.array().cast("array<string>")).alias("duplicates"))
+
+
+@query(_TICKETS + ", l as (select distinct upper(trim(issue_key)) as k from changelogs where issue_key is not null) select issue_key, status from cur where upper(trim(issue_key)) not in (select k from l)")
+def h13_without_activity(spark, d):
+    """Tickets of which no change is known."""
+    seen = load(spark, d, "changelogs").select(F.upper(F.trim("issue_key")).alias("k")).distinct()
+    t = tickets_now(spark, d, "status")
+    return t.join(seen, F.upper(F.trim("issue_key")) == F.col("k"), "left_anti").select("issue_key", "status")
