@@ -28,6 +28,7 @@ def test_held_out_sentences(spark):
 
 def test_labels():
     assert [named_language(x) for x in ("en_GB", "German", "por", "pt-BR", "ger", " FR ", "und", "", None, "xx", "n/a")] == ["en", "de", "pt", "pt", "de", "fr", None, None, None, None, None]
+    assert named_language("sv-SE") is None and named_language("sv-SE", frozenset({"sv", "en"})) == "sv"
 
 
 def test_segments_skip_what_has_no_language():

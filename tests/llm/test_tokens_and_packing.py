@@ -67,3 +67,14 @@ def test_containers(spark):
     assert parts == {i: n for i, n in enumerate(sizes) if n and n > 0}
     assert len(load) <= -(-sum(parts.values()) // 100) * 1.05
     assert packing.pack(df.limit(0), "id", "size").count() == 0
+
+
+def test_decoding_gives_the_texts_back(spark):
+    rows = [(1, "Ünï code\r\n \U0001f600  x"), (None, "plain"), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    from worklens.llm.bpe import decode_documents, encode_documents
+
+    got = sorted((str(r["doc_id"]), r["text"]) for r in decode_documents(encode_documents(df)).collect())
+    assert got == sorted((str(i), t or "") for i, t in rows)
+    cut = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
+    assert decode_documents(cut).first()["text"] == ""

@@ -286,3 +286,22 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, T.StructType(fields))
+
+
+def decode_documents(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, vocab: str | None = None) -> DataFrame:
+    """(id, text): the texts of lists of token ids, as ``encode_documents`` gives them. Null and empty lists have an empty text; bytes
+    that are no UTF-8 (a list cut within a character) are replaced. Rows are mapped one to one. A narrow stage."""
+    data = df.sparkSession.sparkContext.broadcast(vocabulary(vocab))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(data.value)
+        pieces = np.empty(len(enc.widths), object)
+        for b, r in enc.ranks.items():
+            pieces[r] = b
+        for batch in stream:
+            ids = batch.column(1)
+            texts = [b"".join(pieces[ids[i].values.to_numpy(zero_copy_only=False)].tolist()).decode("utf-8", "replace") if ids[i].is_valid and len(ids[i]) else "" for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(run, f"`{id_col}` {kind}, text string")

