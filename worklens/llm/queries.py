@@ -142,6 +142,12 @@ ORACLE: dict[str, str] = {
     "p5_found": _BLOCKS,
     "p5_rules": f"with {_TEXTS} select item_kind, item_id, length(content) as n_chars, length(content) as covered, true as bounded, true as overlapping, true as exact from items where length(content) > 2000",
     "p2_found": f"with {_PAIRS} select key_a, key_b from pairs",
+    "p2_groups": f"""with recursive {_PAIRS},
+link as (select key_a as k, key_b as o from pairs union all select key_b, key_a from pairs),
+reach as (select k, o from link union select r.k, l.o from reach r join link l on l.k = r.o),
+same as (select issue_key, string_agg(w, ' ' order by w) as s from words join sizes using (issue_key) group by 1),
+class as (select issue_key, min(issue_key) over (partition by s) as class_key from same)
+select issue_key, class_key, least(issue_key, coalesce((select min(o) from reach where k = issue_key), issue_key)) as group_key, (select count(*) from link where k = issue_key) as n_links from class""",
     "p3_found": f"with {_ITEMS} select item_a, item_b from scored where n_both >= 6 and n_both * n_baskets >= 3 * n_a * n_b",
     "p3_scores": f"with {_ITEMS} select * from scored",
     "p3_affected": f"with {_ITEMS}, {_OLDEST}, {_items('was', '_was')} select item_a, item_b, n_both, n_a, n_b from scored except select item_a, item_b, n_both, n_a, n_b from scored_was",
