@@ -13,24 +13,22 @@ def similar_pairs(sets: DataFrame, key: str, tokens: str, threshold: float, stri
     """(key_a, key_b, similarity): pairs of rows, key_a below key_b, with Jaccard similarity of at least (``strict``: above) ``threshold``.
 
     Equal sets are one class first. Only the rarest tokens of a class, as many as a similar partner must share one of,
-    are join keys (prefix filter; exact). What is exchanged for them is numbers: class, size and place of the token; a
-    pair whose sizes differ too much, or that has too few tokens left behind the places, is none. Only for pairs that pass
-    the sets themselves are fetched. A token with very many sets is a skewed join key, which adaptive execution splits.
-    Empty sets have no partner.
+    are join keys (prefix filter; exact). A pair whose sizes differ too much, or that has too few tokens left behind the
+    places at which it meets, is none; the sets of the others are compared where they meet, so that only similar pairs are
+    exchanged again. A token with very many sets is a skewed join key, which adaptive execution splits. Empty sets have no
+    partner.
     """
     canonical = sets.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
     classes = canonical.groupBy("t").agg(F.min("k").alias("c"))
     each = classes.select("c", F.explode("t").alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
     ranked = cut(each.join(df, "w").groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("r")))
-    heads = ranked.select("c", F.size("r").alias("n"), F.posexplode(F.expr(f"slice(r, 1, cast(size(r) - ceil(size(r) * {threshold}D) + 1 as int))")).alias("i", "w"))
-    a, b = heads.toDF("a", "na", "i", "w"), heads.toDF("b", "nb", "j", "w")
+    heads = ranked.select("c", "r", F.size("r").alias("n"), F.posexplode(F.expr(f"slice(r, 1, cast(size(r) - ceil(size(r) * {threshold}D) + 1 as int))")).alias("i", "w"))
+    a, b = heads.toDF("a", "ta", "na", "i", "w"), heads.toDF("b", "tb", "nb", "j", "w")
     shared = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9  # tokens that a similar pair has in common
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= shared)
-    met = a.join(b, "w").where("a < b").where(near).select("a", "b").distinct()
-    both = met.join(ranked.toDF("a", "ta"), "a").join(ranked.toDF("b", "tb"), "b")
-    pairs = both.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
-    pairs = pairs.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
+    met = a.join(b, "w").where("a < b").where(near).select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
+    pairs = met.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold).distinct()
     members = canonical.distinct().join(classes, "t").select("c", "k")
     across = pairs.join(members.toDF("a", "ka"), "a").join(members.toDF("b", "kb"), "b").select("ka", "kb", "similarity")
     within = members.toDF("c", "ka").join(members.toDF("c", "kb"), "c").where("ka < kb").select("ka", "kb", F.lit(1.0).alias("similarity"))
