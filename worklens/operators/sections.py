@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# What stands before the overlap of a chunk and behind it, and how a short section joins the chunk before it.
+LEAD, BEHIND, JOINED = "…", "\n\n---\n\n", "\n\n## {heading}\n{text}"
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 
@@ -55,11 +58,11 @@ def chunks(markdown: str | None, least: int = 50, most: int = 2000, overlap: int
     for depth, heading, text in sections(markdown or ""):
         trail = [t for t in trail if t[0] < depth] + ([(depth, heading)] if heading else [])
         if out and 0 < len(text) < least:
-            out[-1][3] += f"\n\n## {heading}\n{text}"
+            out[-1][3] += JOINED.format(heading=heading, text=text)
             continue
         parts = _parts(text or heading, most)
         crumb = " > ".join(h for _, h in trail)
-        lead = f"…{tail[-overlap:]}\n\n---\n\n" if overlap and tail and out else ""
+        lead = LEAD + tail[-overlap:] + BEHIND if overlap and tail and out else ""
         for i, part in enumerate(parts):
             out.append([crumb, heading + (f" ({i + 1}/{len(parts)})" if len(parts) > 1 else ""), depth, (lead if out else "") + part])
         tail = text
